@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import cache
 from itertools import chain
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -124,36 +126,127 @@ class PrefixEncoder:
         return out[::-1]
 
 
-#: Bytes up to which a piece's prefixes are computed on demand, from its end; longer pieces go forward through all.
-SHORT = 48
-
-
-def on_demand(v: Vocabulary, data: bytes) -> list[int]:
-    """The ids that PrefixEncoder gives, computing only those prefixes that the last token's search asks for."""
-    last: dict[int, int] = {}
-    rank, pairs, adjacent, parts, whole, reach = v.ranks.get, v.close, v.adjacent, v.parts, v.whole, v.reach.get
-
-    def find(end: int) -> int:
-        first = end - reach(data[end - 3 : end], 2) if end > 2 else 0
-        for start in range(first if first > 0 else 0, end):
-            t = rank(data[start:end])
-            if t is None or (parts.get(t) is None and not whole(t)):
-                continue
-            if start:
-                p = last[start] if start in last else find(start)
-                good = pairs.get(p << 32 | t)
-                if not (adjacent(p, t) if good is None else good):
-                    continue
-            last[end] = t
-            return t
-        raise ValueError("the vocabulary lacks single bytes")
+#: Bytes up to which pieces are computed many at once; longer ones go through PrefixEncoder. Pairs that are kept for that.
+SHORT = 64
+PAIRS = 400_000
+
 
-    out, end = [], len(data)
-    while end:
-        t = last[end] if end in last else find(end)
-        out.append(t)
-        end -= len(v.bytes_of[t])
-    return out[::-1]
+class SuffixTrie:
+    """The vocabulary's tokens from their last byte backward, as an open hash table of (node, byte) -> node."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        tokens = sorted((b[::-1], t) for b, t in ranks.items())
+        width = max(map(len, ranks))
+        text = np.zeros((len(tokens), width), np.int64)
+        for i, (b, _) in enumerate(tokens):
+            text[i, : len(b)] = np.frombuffer(b, np.uint8)
+        lengths = np.array([len(b) for b, _ in tokens])
+        ids = np.array([t for _, t in tokens])
+        at, nodes, edges, to = np.zeros(len(tokens), np.int64), 1, [], []
+        self.token = [np.array([-1])]
+        for d in range(width):
+            live = np.flatnonzero(lengths > d)
+            key, first, inverse = np.unique(at[live] << 8 | text[live, d], return_index=True, return_inverse=True)
+            at[live] = nodes + inverse
+            token = np.full(len(key), -1)
+            done = live[lengths[live] == d + 1]
+            token[at[done] - nodes] = ids[done]
+            self.token.append(token)
+            edges.append(key)
+            to.append(nodes + np.arange(len(key)))
+            nodes += len(key)
+        self.token = np.concatenate(self.token)
+        key, to = np.concatenate(edges), np.concatenate(to)
+        self.mask = (1 << (4 * len(key)).bit_length()) - 1
+        self.keys, self.to = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int64)
+        left, slot = np.arange(len(key)), self._slot(key)
+        while len(left):
+            free = self.keys[slot] == -1
+            self.keys[slot[free]] = key[left[free]]
+            placed = self.keys[slot] == key[left]
+            self.to[slot[placed]] = to[left[placed]]
+            left, slot = left[~placed], (slot[~placed] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key * 0x9E3779B97F4A7C1 >> 20) & self.mask
+
+    def child(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """0 where there is none."""
+        key = node << 8 | byte
+        slot = self._slot(key)
+        found, out = self.keys[slot], np.zeros(len(key), np.int64)
+        hit = found == key
+        out[hit] = self.to[slot[hit]]
+        open_ = np.flatnonzero(~hit & (found != -1))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            found = self.keys[slot[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.to[slot[open_[hit]]]
+            open_ = open_[~hit & (found != -1)]
+        return out
+
+
+class ManyEncoder:
+    """The prefix program for many short pieces together: prefixes of one length at a time."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.v, self.trie = vocabulary, SuffixTrie(vocabulary.ranks)
+        self.size = np.zeros(max(vocabulary.bytes_of) + 1, np.int64)
+        for t, b in vocabulary.bytes_of.items():
+            self.size[t] = len(b)
+        self.known, self.fit = np.array([-1], np.int64), np.array([False])
+
+    def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """For pairs of tokens whether they may be neighbours; left -1: the beginning."""
+        pair = (left + 1) << 32 | right
+        at = np.minimum(np.searchsorted(self.known, pair), len(self.known) - 1)
+        new = np.unique(pair[self.known[at] != pair])
+        if len(new):
+            v = self.v
+            fit = [v.whole(p & 0xFFFFFFFF) and (p >> 32 == 0 or v.adjacent((p >> 32) - 1, p & 0xFFFFFFFF)) for p in new.tolist()]
+            if len(self.known) > PAIRS:
+                self.known, self.fit = np.array([-1], np.int64), np.array([False])
+                return self.fits(left, right)
+            where = np.searchsorted(self.known, new)
+            self.known, self.fit = np.insert(self.known, where, new), np.insert(self.fit, where, fit)
+            at = np.searchsorted(self.known, pair)
+        return self.fit[at]
+
+    def encode(self, pieces: list[bytes]) -> list[list[int]]:
+        if not pieces:
+            return []
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(-lengths, kind="stable")
+        lengths, n, width = lengths[order], len(pieces), int(lengths.max())
+        text = np.zeros((n, width), np.int64)
+        text[np.arange(width) < lengths[:, None]] = np.frombuffer(b"".join(pieces[i] for i in order.tolist()), np.uint8)
+        last = np.full((n, width + 1), -1, np.int64)
+        for end in range(1, width + 1):
+            rows = np.arange(np.searchsorted(-lengths, -end, "right"))  # pieces of at least `end` bytes come first
+            node, live, options = np.zeros(len(rows), np.int64), rows, []
+            for back in range(1, end + 1):
+                node = self.trie.child(node, text[live, end - back])
+                live, node = live[node > 0], node[node > 0]
+                token = self.trie.token[node]
+                if (token >= 0).any():
+                    options.append((back, live[token >= 0], token[token >= 0]))
+                if not len(live):
+                    break
+            for back, who, token in reversed(options):
+                free = last[who, end] == -1
+                who, token = who[free], token[free]
+                good = self.fits(last[who, end - back], token)
+                last[who[good], end] = token[good]
+        out: list[list[int]] = [[] for _ in pieces]
+        at, rows = lengths.copy(), np.arange(n)
+        while len(rows):
+            token = last[rows, at[rows]]
+            for i, t in zip(order[rows].tolist(), token.tolist(), strict=True):
+                out[i].append(t)
+            at[rows] -= self.size[token]
+            rows = rows[at[rows] > 0]
+        return [x[::-1] for x in out]
 
 
 class Codec:
@@ -163,41 +256,48 @@ class Codec:
         import regex
 
         self.v, self.split = Vocabulary(read_ranks(ranks_path)), regex.compile(pattern).findall
+        self.many = ManyEncoder(self.v)
         self.pieces: dict[str, list[int]] = {}
         self.chunks: dict[str, tuple[int, bytes, bytes]] = {}
 
-    def encode_piece(self, piece: str) -> list[int]:
-        known = self.pieces.get(piece)
-        if known is None:
-            if len(self.pieces) > MEMO:
-                self.pieces.clear()
-            raw = piece.encode()
-            whole = self.v.ranks.get(raw)
-            known = self.pieces[piece] = [whole] if whole is not None and self.v.whole(whole) else on_demand(self.v, raw) if len(raw) <= SHORT else PrefixEncoder(self.v, raw).ids()
-        return known
+    def learn(self, pieces: set[str]) -> None:
+        """Encode those pieces that are not remembered."""
+        if len(self.pieces) > MEMO:
+            self.pieces.clear()
+        new = [p for p in pieces if p not in self.pieces]
+        raw = [p.encode() for p in new]
+        short = [i for i, r in enumerate(raw) if len(r) <= SHORT]
+        for i, ids in zip(short, self.many.encode([raw[i] for i in short]), strict=True):
+            self.pieces[new[i]] = ids
+        for i in set(range(len(new))).difference(short):
+            self.pieces[new[i]] = PrefixEncoder(self.v, raw[i]).ids()
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.encode_piece, self.split(text))))
+        pieces = self.split(text)
+        self.learn(set(pieces))
+        return list(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.v.bytes_of.__getitem__, ids))
 
-    def _chunk(self, chunk: str) -> tuple[int, bytes, bytes]:
-        ids = self.encode(chunk)
-        return len(ids), " ".join(map(str, ids)).encode(), self.decode(ids)
-
-    def coded(self, text: str) -> tuple[int, bytes, bytes]:
-        """Number of ids, ids in decimal joined by one space, and the bytes that the ids decode to."""
-        head, *tail = chunks_of(text)
-        chunks = self.chunks
-        if len(chunks) > MEMO:
-            chunks.clear()
-        for c in set(tail).difference(chunks):
-            chunks[c] = self._chunk(" " + c)
-        out = list(map(chunks.__getitem__, tail))
-        if head:
-            out.insert(0, self._chunk(head))
-        return sum(map(itemgetter(0), out)), b" ".join(map(itemgetter(1), out)), b"".join(map(itemgetter(2), out))
+    def _chunks(self, chunks: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
+        cut = [self.split(c) for c in chunks]
+        self.learn(set(chain.from_iterable(cut)))
+        for pieces in cut:
+            ids = list(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
+            yield len(ids), " ".join(map(str, ids)).encode(), self.decode(ids)
+
+    def coded(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
+        """For each text: number of ids, ids in decimal joined by one space, and the bytes that the ids decode to."""
+        cut = [chunks_of(t) for t in texts]
+        if len(self.chunks) > MEMO:
+            self.chunks.clear()
+        heads = list(self._chunks([c[0] for c in cut]))
+        new = list(set(chain.from_iterable(c[1:] for c in cut)).difference(self.chunks))
+        self.chunks.update(zip(new, self._chunks([" " + c for c in new]), strict=True))
+        for c, head in zip(cut, heads, strict=True):
+            out = [x for x in (head,) if x[0]] + list(map(self.chunks.__getitem__, c[1:]))
+            yield sum(map(itemgetter(0), out)), b" ".join(map(itemgetter(1), out)), b"".join(map(itemgetter(2), out))
 
 
 @cache
@@ -216,7 +316,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     def run(batches):
         codec = codec_of(ranks_path, pattern)
         for group in by_bytes(rows_of(batches), lambda r: len(r[1]) + 64, BATCH_BYTES):
-            out = [codec.coded(t.decode()) for _, t in group]
+            out = list(codec.coded([t.decode() for _, t in group]))
             yield batch(doc_id=([i for i, _ in group], pa.int64()), n_tokens=([n for n, _, _ in out], pa.int64()), ids_sha256=([hashlib.sha256(x).hexdigest() for _, x, _ in out], pa.string()), decoded_sha256=([hashlib.sha256(x).hexdigest() for _, _, x in out], pa.string()))
 
     return arrow_map(id_and_text(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
