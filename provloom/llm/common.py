@@ -88,3 +88,13 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
     for b in batches:
         yield from zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), strict=True)
+
+
+#: Ids (8 bytes each) up to which a list of ids is broadcast; longer ones are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is not in ids (one column, doc_id); rows with a null doc_id stay."""
+    ids = stored(ids.where("doc_id is not null").distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)

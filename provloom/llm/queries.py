@@ -81,13 +81,13 @@ ORACLE_SQL = {
         WITH w AS (
             SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents
         ), win AS (
-            SELECT doc_id, unnest(range(1, len(words) - 11)) AS at, words FROM w WHERE len(words) >= 13
+            SELECT doc_id, unnest(range(1, len(words) - 11)) AS p, words FROM w WHERE len(words) >= 13
         ), grams AS (
-            SELECT doc_id, at, array_to_string(words[at:at + 12], ' ') AS gram FROM win
+            SELECT doc_id, p, array_to_string(words[p:p + 12], ' ') AS gram FROM win
         ), hit AS (
-            SELECT doc_id, at FROM (SELECT doc_id, at, min(doc_id) OVER (PARTITION BY gram) AS first FROM grams) WHERE first < doc_id
+            SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY gram) AS first FROM grams) WHERE first < doc_id
         ), gone AS (
-            SELECT DISTINCT doc_id, unnest(range(at, at + 13)) AS pos FROM hit
+            SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS pos FROM hit
         ), each AS (
             SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w
         ), kept AS (

@@ -8,7 +8,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, arrow_map, batch, by_bytes, id_and_text, rows_of, stored
@@ -133,9 +133,10 @@ def trie_pairs(key: np.ndarray, side: np.ndarray, fp: np.ndarray, budget: int, b
         stack.append((depth + STRIDE, np.stack([at[i], at[i + 1], at[j], at[j + 1], used])[:, good]))
 
 
-def near_links(points: DataFrame, bits: int = 64, budget: int = 3, checks: tuple[str, ...] = (), most_bits: int = 0) -> DataFrame:
-    """Links (a, b) of ids whose fingerprints (column fp, in its `bits` highest bits) differ in at most `budget`
-    bits, thinned to spanning forests inside each task (components are those of all links).
+def near_links(points: DataFrame, bits: int = 64, budget: int = 3, fps: tuple[Column, ...] = (), checks: tuple[str, ...] = (), most_bits: int = 0) -> DataFrame:
+    """Links (a, b) of ids with a fingerprint (column fp, or any of the columns fps, in its `bits` highest bits)
+    in which they differ by at most `budget` bits, thinned to spanning forests inside each task (components are
+    those of all links).
 
     checks: more fingerprint columns; linked rows must differ in at most most_bits bits of them altogether.
     Of two fingerprints within the budget, one of budget + 1 blocks of bits is the same; so the trie is joined
@@ -145,8 +146,14 @@ def near_links(points: DataFrame, bits: int = 64, budget: int = 3, checks: tuple
     """
     blocks = budget + 1
     width = bits // blocks
-    turned = [F.when(F.lit(r * width == 0), F.col("fp")).otherwise(F.shiftleft("fp", r * width).bitwiseOR(F.shiftrightunsigned("fp", bits - r * width if bits < 64 or r else 0) if bits == 64 else F.shiftrightunsigned("fp", bits - r * width).bitwiseAND(F.lit(-1 << (64 - bits))))) for r in range(blocks)]
-    rows = points.select("id", *checks, F.posexplode(F.array(*turned)).alias("r", "fp"))
+    high = F.lit(-1 << (64 - bits))
+
+    def turn(fp: Column, r: int) -> Column:
+        """The block number r in front."""
+        return fp.bitwiseAND(high) if r == 0 else F.shiftleft(fp, r * width).bitwiseOR(F.shiftrightunsigned(fp, bits - r * width)).bitwiseAND(high)
+
+    turned = [F.struct(F.lit(t * blocks + r).alias("r"), turn(fp, r).alias("fp")) for t, fp in enumerate(fps or (F.col("fp"),)) for r in range(blocks)]
+    rows = points.select("id", *checks, F.inline(F.array(*turned)))
     rows = rows.select("id", *checks, "fp", F.lit(0).alias("side"), F.concat_ws(":", "r", F.shiftrightunsigned("fp", 64 - width)).alias("key"), F.lit(budget).alias("rest"))
     ready, depth = [], width
     while depth < bits:
@@ -198,7 +205,7 @@ def near_links(points: DataFrame, bits: int = 64, budget: int = 3, checks: tuple
             yield batch(a=(a, pa.int64()), b=(b, pa.int64()))
 
     rows = rows.select("id", *checks, "fp", F.col("side").cast("int").alias("side"), F.xxhash64("key").alias("k"))
-    tasks = max(16, -(-points.count() * blocks // TASK_ROWS))
+    tasks = max(16, -(-points.count() * len(turned) // TASK_ROWS))
     return arrow_map(rows.repartition(tasks, "k"), run, "a long, b long")
 
 
@@ -218,3 +225,26 @@ def simhash_groups(docs: DataFrame, k: int = 3, budget: int = 3, id_col: str = "
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_class = named.join(lowest, "root").select("f0", "component_id")
     return rows.join(by_class, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
+
+
+#: For similar texts: shingle words, fingerprint words, and bits of them all in which linked texts may differ.
+#: Sets of shingles with a Jaccard similarity of 0.8 have a cosine of 0.889, an angle of 27.3 degrees, so 48.5 of 320 bits differ.
+SIMILAR_SHINGLE = 5
+SIMILAR_WORDS = 5
+SIMILAR_BITS = 50
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, component_id, for texts whose five-word shingles have a similarity of about 0.8 or more.
+
+    A single fingerprint with three errors finds only texts that are almost equal. So each text gets 320 bits,
+    cut into ten fingerprints of 32; ten trie self-joins with three errors each propose pairs (a pair at 0.8 is
+    in one of them with over 0.95), and all 320 bits decide. Nulls, ties and empty texts as in simhash_groups.
+    """
+    names = [f"f{w}" for w in range(SIMILAR_WORDS)]
+    rows = stored(fingerprints(docs, SIMILAR_SHINGLE, SIMILAR_WORDS, id_col, text_col))
+    classes = stored(rows.groupBy(*names).agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id")))
+    fps = tuple(fp for n in names for fp in (F.col(n), F.shiftleft(F.col(n), 32)))
+    roots = components(near_links(classes, 32, 3, fps, tuple(names), SIMILAR_BITS))
+    lowest = stored(classes.join(roots, "id", "left").select(*names, F.coalesce("root", "id").alias("component_id")))
+    return rows.join(lowest, names).select("doc_id", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
