@@ -79,7 +79,7 @@ ORACLE_SQL = {
     """,
     "op4_de_bruijn_dedup": r"""
         WITH w AS (
-            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
         ), win AS (
             SELECT doc_id, unnest(range(1, len(words) - 11)) AS p, words FROM w WHERE len(words) >= 13
         ), grams AS (
