@@ -31,25 +31,41 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Spark deletes a query's shuffle files as soon as the query is over.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, rows_a_file: int | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage, and survives lost executors. Deleted when the application ends."""
+    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors, and frees the
+    shuffle files that made it. Deleted by discard(), or when the application ends."""
     spark = df.sparkSession
     to = f"{shared_dir(spark)}/provloom-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if rows_a_file:
         writer = writer.option("maxRecordsPerFile", rows_a_file)
-    writer.parquet(to)
-
-    def forget() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(to)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has ended already; the folder is named for cleaning by hand
-            return
-
-    atexit.register(forget)
-    return spark.read.schema(df.schema).parquet(to)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(to)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(to)
+    out.stored_at = to
+    atexit.register(_delete, spark, to)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a stored table that no later step reads."""
+    _delete(df.sparkSession, df.stored_at)
+
+
+def _delete(spark: SparkSession, to: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended; the folder is named for cleaning by hand
+        return
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:

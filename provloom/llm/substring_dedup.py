@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import NO_ID, arrow_map, id_and_text, stored, utf8
+from .common import NO_ID, arrow_map, discard, id_and_text, stored, utf8
 from .exact_dedup import mix
 
 #: Words of a window, the number that bytes and words are powers of, and bytes hashed at once.
@@ -186,6 +186,8 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, texts: bool = False, id_col
 
     second = stored(B.with_answers(stored_blocks, flags, ask_nodes, "block long, payload binary, range int, numbers binary, extra binary, done binary", wide))
 
+    discard(stored_blocks)
+
     def cuts(numbers: list[bytes], extra: list[bytes]) -> list[bytes]:
         each = [B.decode(x) for x in numbers]
         node, both = np.concatenate(each), np.concatenate([B.unplanes(x) for x in extra])
