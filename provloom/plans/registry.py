@@ -1,2 +1,289 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""Registered queries of the provenance engine and their DuckDB oracles, side by side."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import term_search
+from ..operators import control, fmg, graph, scoring
+from ..sources import adapter
+from ..sources.adapter import DAY_NS, FIRST_DAY_NS, SQL_EVENTS, SQL_NODES, events, node_definitions, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+START, END = FIRST_DAY_NS + 2 * DAY_NS, FIRST_DAY_NS + 9 * DAY_NS
+HOUR = 3_600_000_000_000
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+WITH = f"WITH {SQL_EVENTS.strip()}"
+COMPRESSED = """comp AS (
+  SELECT logical_day, src_uuid, dst_uuid, event_type, predicate_index, count(*) AS event_count, min(timestamp_ns) AS first_timestamp_ns, max(timestamp_ns) AS last_timestamp_ns,
+    arg_min(event_uuid, (timestamp_ns, raw_line)) AS first_event_uuid, arg_min(raw_offset, (timestamp_ns, raw_line)) AS first_raw_offset
+  FROM edges WHERE src_uuid <> dst_uuid GROUP BY ALL)"""
+TOUCH = """touch AS (
+  SELECT * FROM (SELECT timestamp_ns, logical_day, event_type, r.role, CASE r.role WHEN 'subject' THEN subject_uuid WHEN 'predicate' THEN predicate_uuid ELSE predicate2_uuid END AS node_uuid FROM e, (VALUES ('subject'), ('predicate'), ('predicate2')) AS r(role)) WHERE node_uuid IS NOT NULL)"""
+CELLS = f"""cells AS (
+  SELECT DISTINCT d AS depth, {DAY_NS} // (1 << d) AS width, timestamp_ns // ({DAY_NS} // (1 << d)) AS cell, (timestamp_ns % ({DAY_NS} // (1 << d))) // ({DAY_NS} // (1 << d) // 2) AS half, node_uuid FROM touch, range(6) AS x(d)
+), stat AS (SELECT depth, width, cell, count(DISTINCT node_uuid) AS node_count, count(DISTINCT node_uuid) > 120 AND width > {HOUR} AND count(DISTINCT half) = 2 AS splits FROM cells GROUP BY depth, width, cell
+), leaf AS (SELECT 'pg-' || (cell * width) || '-' || (cell * width + width) AS pg_id, cell * width AS start_ns, cell * width + width AS end_ns, depth, width, cell, node_count FROM stat s
+  WHERE NOT splits AND NOT EXISTS (SELECT 1 FROM stat u WHERE u.depth < s.depth AND u.cell = s.cell // (1 << (s.depth - u.depth)) AND NOT u.splits))"""
+ROLES = """roles AS (
+  SELECT logical_day, node_uuid, count_if(role = 'subject') AS subject_count, count_if(role = 'predicate') AS predicate_count, count_if(role = 'predicate2') AS predicate2_count,
+    count_if(event_type = 'EVENT_EXECUTE') AS event_execute, count_if(event_type = 'EVENT_READ') AS event_read, count_if(event_type = 'EVENT_SENDTO') AS event_sendto, count_if(event_type = 'EVENT_WRITE') AS event_write,
+    count_if(event_type IN ('EVENT_EXECUTE', 'EVENT_READ', 'EVENT_SENDTO', 'EVENT_WRITE')) AS event_count, max(timestamp_ns) - min(timestamp_ns) AS activity_span_ns, coalesce(max(gap), 0) AS max_gap_ns,
+    round(CASE WHEN count(*) > 1 THEN (max(timestamp_ns) - min(timestamp_ns)) / (count(*) - 1) ELSE 0.0 END / 1e9, 5) AS mean_gap_s
+  FROM (SELECT *, timestamp_ns - lag(timestamp_ns) OVER (PARTITION BY logical_day, node_uuid ORDER BY timestamp_ns) AS gap FROM touch) GROUP BY logical_day, node_uuid)"""
+DEGREES = """deg AS (
+  SELECT logical_day, node_uuid, count(i) AS in_degree, count(o) AS out_degree, count(DISTINCT n) AS unique_neighbor_count FROM (
+    SELECT DISTINCT logical_day, src_uuid AS node_uuid, dst_uuid AS o, NULL AS i, dst_uuid AS n FROM edges WHERE src_uuid <> dst_uuid
+    UNION ALL SELECT DISTINCT logical_day, dst_uuid, NULL, src_uuid, src_uuid FROM edges WHERE src_uuid <> dst_uuid) GROUP BY logical_day, node_uuid)"""
+SCORES = """scores AS (
+  SELECT r.logical_day, r.node_uuid, entity_type, CAST(event_count AS DOUBLE) / (1 + coalesce(unique_neighbor_count, 0)) AS score FROM roles r JOIN nt USING (node_uuid) LEFT JOIN deg USING (logical_day, node_uuid))"""
+ALL_SCORES = f"{WITH}, {SQL_NODES.strip()}, {TOUCH}, {ROLES}, {DEGREES}, {SCORES}"
+PERCENTILE = """ref AS (SELECT entity_type, score, count(*) AS m FROM scores WHERE logical_day BETWEEN 13 AND 18 GROUP BY ALL), cdf AS (SELECT entity_type, score, sum(m) OVER (PARTITION BY entity_type ORDER BY score) AS upto, sum(m) OVER (PARTITION BY entity_type) AS n FROM ref), pct AS (
+  SELECT s.logical_day, s.node_uuid, s.entity_type, s.score, coalesce(max(c.upto), 0) / max(t.n) AS q FROM scores s JOIN (SELECT entity_type, sum(m) AS n FROM ref GROUP BY entity_type) t USING (entity_type) LEFT JOIN cdf c ON c.entity_type = s.entity_type AND c.score <= s.score WHERE s.logical_day > 18 GROUP BY s.logical_day, s.node_uuid, s.entity_type, s.score)"""
+FMG = f"""{WITH}, {SQL_NODES.strip()}, {TOUCH}, {COMPRESSED}, member AS (
+  SELECT DISTINCT logical_day, node_uuid, format('d{{:02d}}:day{{:02d}}:c{{:05d}}', logical_day, logical_day, CASE entity_type WHEN 'SUBJECT_PROCESS' THEN 0 WHEN 'FILE_OBJECT_FILE' THEN 1 WHEN 'FILE_OBJECT_DIR' THEN 2 WHEN 'NET_FLOW' THEN 4 WHEN 'UNNAMED_PIPE' THEN 6 ELSE 9 END) AS community_id FROM touch JOIN nt USING (node_uuid)
+), wit AS (SELECT *, 'event:' || first_event_uuid || ':p' || predicate_index AS evidence_id, first_timestamp_ns AS ts FROM comp
+), dir AS (SELECT s.community_id AS src_community_id, d.community_id AS dst_community_id, CASE WHEN event_type IN ('EVENT_FORK', 'EVENT_EXECUTE') THEN 'entity_lineage' ELSE 'provenance_reachability' END AS edge_type, ts, evidence_id, 'event' AS side, NULL AS entity_uuid
+  FROM wit JOIN member s ON s.logical_day = wit.logical_day AND s.node_uuid = src_uuid JOIN member d ON d.logical_day = wit.logical_day AND d.node_uuid = dst_uuid WHERE s.community_id <> d.community_id
+), occ AS (SELECT logical_day, node_uuid, min((ts, evidence_id)) AS f, max((ts, evidence_id)) AS l FROM (SELECT logical_day, src_uuid AS node_uuid, ts, evidence_id FROM wit UNION ALL SELECT logical_day, dst_uuid, ts, evidence_id FROM wit) GROUP BY ALL
+), pairs AS (SELECT a.community_id AS src_community_id, b.community_id AS dst_community_id, a.node_uuid AS entity_uuid, oa.l AS l, ob.f AS f FROM member a JOIN member b ON b.node_uuid = a.node_uuid AND b.logical_day = a.logical_day + 1 JOIN occ oa ON oa.node_uuid = a.node_uuid AND oa.logical_day = a.logical_day JOIN occ ob ON ob.node_uuid = b.node_uuid AND ob.logical_day = b.logical_day WHERE oa.l[1] <= ob.f[1]
+), cont AS (SELECT src_community_id, dst_community_id, 'entity_continuation' AS edge_type, l[1] AS ts, l[2] AS evidence_id, 'left' AS side, entity_uuid FROM pairs UNION ALL SELECT src_community_id, dst_community_id, 'entity_continuation', f[1], f[2], 'right', entity_uuid FROM pairs
+), rel AS (SELECT 'fmg-' || substr(sha256(edge_type || chr(0) || src_community_id || chr(0) || dst_community_id), 1, 24) AS fmg_edge_id, src_community_id, dst_community_id, edge_type, count(*) AS witness_count, count(DISTINCT entity_uuid) AS witness_entity_count, min(ts) AS first_witness_ns, max(ts) AS last_witness_ns, CASE WHEN edge_type LIKE '%continuation' THEN 'identity_continuity' ELSE 'causal' END AS evidence_semantics FROM (SELECT * FROM dir UNION ALL SELECT * FROM cont) GROUP BY src_community_id, dst_community_id, edge_type)"""
+
+
+def _day(df: DataFrame) -> DataFrame:
+    """Whole days as intervals."""
+    return df.withColumn("pg_id", F.format_string("day%02d", F.col("logical_day")))
+
+
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    ev = events(spark, sf)
+    r, d, t = graph.roles(graph.touches(ev), "logical_day"), graph.degrees(graph.edges(ev), "logical_day"), graph.node_types(node_definitions(spark, sf))
+    return r.join(t, "node_uuid").join(d, ["logical_day", "node_uuid"], "left").select("logical_day", "node_uuid", "entity_type", (F.col("event_count").cast("double") / (1 + F.coalesce("unique_neighbor_count", F.lit(0)))).alias("score"))
+
+
+def _percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    s = _scores(spark, sf)
+    return scoring.empirical_percentile(s.where("logical_day between 13 and 18"), s.where("logical_day > 18"), "entity_type").where("q is not null")
+
+
+def _fmg(spark: SparkSession, sf: str):
+    ev = _day(events(spark, sf))
+    witness = fmg.witnesses(graph.compress(graph.edges(ev), "pg_id"))
+    nodes = _day(graph.touches(ev).select("logical_day", "node_uuid").distinct()).join(graph.node_types(node_definitions(spark, sf)), "node_uuid")
+    member = fmg.memberships(nodes)
+    start = (F.col("logical_day") - 1).cast("long") * DAY_NS + FIRST_DAY_NS
+    pgs = nodes.select("pg_id", start.alias("start_ns"), (start + DAY_NS).alias("end_ns")).distinct()
+    direct = fmg.direct(witness, member)
+    cont = fmg.continuations(pgs, member, fmg.occurrences(witness), DAY_NS)
+    return member, witness, direct.unionByName(cont)
+
+
+@query(f"{WITH} SELECT event_uuid, timestamp_ns, event_type, subject_uuid FROM e WHERE timestamp_ns >= {START} AND timestamp_ns < {END} AND phase = 'fit'")
+def scan_range(spark, sf):
+    return graph.scan(events(spark, sf), START, END, "fit").select("event_uuid", "timestamp_ns", "event_type", "subject_uuid")
+
+
+@query(f"{WITH} SELECT event_uuid, src_uuid, dst_uuid, event_type, CAST(predicate_index AS INT) AS predicate_index, timestamp_ns, raw_offset FROM edges")
+def materialize_edges(spark, sf):
+    return graph.edges(events(spark, sf)).select("event_uuid", "src_uuid", "dst_uuid", "event_type", "predicate_index", "timestamp_ns", "raw_offset")
+
+
+@query(f"{WITH}, {COMPRESSED} SELECT * REPLACE (CAST(predicate_index AS INT) AS predicate_index) FROM comp")
+def compress_edges(spark, sf):
+    return graph.compress(graph.edges(events(spark, sf)), "logical_day")
+
+
+@query(f"{WITH}, {COMPRESSED} SELECT src_uuid, dst_uuid, event_type, CAST(sum(event_count) AS BIGINT) AS event_count FROM comp GROUP BY ALL ORDER BY event_count DESC, src_uuid, dst_uuid, event_type LIMIT 10")
+def busiest_edges(spark, sf):
+    c = graph.compress(graph.edges(events(spark, sf)), "logical_day")
+    return c.groupBy("src_uuid", "dst_uuid", "event_type").agg(F.sum("event_count").alias("event_count")).orderBy(F.desc("event_count"), "src_uuid", "dst_uuid", "event_type").limit(10)
+
+
+@query(f"{WITH} SELECT flow_direction, count(*) AS n FROM e GROUP BY flow_direction")
+def direction_counts(spark, sf):
+    return events(spark, sf).groupBy("flow_direction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{WITH} SELECT logical_day, phase, count(*) AS n FROM e GROUP BY logical_day, phase")
+def logical_day_counts(spark, sf):
+    return events(spark, sf).groupBy("logical_day", "phase").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{WITH} SELECT event_type, flow_direction, logical_day, count(*) AS n FROM e GROUP BY GROUPING SETS ((event_type), (flow_direction), (logical_day), ())")
+def shard_manifest(spark, sf):
+    return events(spark, sf).groupingSets([["event_type"], ["flow_direction"], ["logical_day"], []], "event_type", "flow_direction", "logical_day").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{WITH}, {TOUCH} SELECT role, event_type, count(*) AS n, count(DISTINCT node_uuid) AS nodes FROM touch GROUP BY ALL")
+def event_references(spark, sf):
+    return graph.touches(events(spark, sf)).groupBy("role", "event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("node_uuid").alias("nodes"))
+
+
+@query(f"{WITH}, {TOUCH}, {CELLS} SELECT pg_id, start_ns, end_ns, CAST(depth AS INT) AS depth, node_count FROM leaf")
+def pg_intervals(spark, sf):
+    return graph.bisect(events(spark, sf)).select("pg_id", "start_ns", "end_ns", "depth", "node_count")
+
+
+@query(f"{WITH}, {TOUCH}, {CELLS} SELECT pg_id, count(*) AS events, min(timestamp_ns) AS first_ns, max(timestamp_ns) AS last_ns, count(DISTINCT subject_uuid) AS subjects FROM e JOIN leaf ON timestamp_ns >= start_ns AND timestamp_ns < end_ns GROUP BY pg_id")
+def pg_summary(spark, sf):
+    ev = events(spark, sf)
+    return graph.assign(ev, graph.bisect(ev)).groupBy("pg_id").agg(F.count(F.lit(1)).alias("events"), F.min("timestamp_ns").alias("first_ns"), F.max("timestamp_ns").alias("last_ns"), F.countDistinct("subject_uuid").alias("subjects"))
+
+
+@query(f"{WITH}, {SQL_NODES.strip()} SELECT node_uuid, definition_count, entity_type FROM nt")
+def node_types(spark, sf):
+    return graph.node_types(node_definitions(spark, sf)).drop("entity_type_id")
+
+
+@query(f"{WITH}, {TOUCH}, {ROLES} SELECT * FROM roles")
+def node_roles(spark, sf):
+    return graph.roles(graph.touches(events(spark, sf)), "logical_day")
+
+
+@query(f"{WITH}, {DEGREES} SELECT * FROM deg")
+def degrees(spark, sf):
+    return graph.degrees(graph.edges(events(spark, sf)), "logical_day")
+
+
+@query(f"{WITH}, {COMPRESSED} SELECT logical_day, least(src_uuid, dst_uuid) AS a, greatest(src_uuid, dst_uuid) AS b, round(ln(1 + sum(event_count)), 6) AS weight FROM comp GROUP BY ALL")
+def community_weights(spark, sf):
+    return graph.undirected_weights(graph.compress(graph.edges(events(spark, sf)), "logical_day"), "logical_day")
+
+
+@query(f"{WITH}, {SQL_NODES.strip()}, {COMPRESSED} SELECT logical_day, dst_uuid AS node_uuid, event_type, entity_type AS source_type, round(sum(ln(1 + event_count)), 5) AS context FROM comp JOIN nt ON nt.node_uuid = src_uuid GROUP BY ALL")
+def relation_context(spark, sf):
+    c = graph.compress(graph.edges(events(spark, sf)), "logical_day")
+    t = graph.node_types(node_definitions(spark, sf)).select(F.col("node_uuid").alias("src_uuid"), F.col("entity_type").alias("source_type"))
+    return c.join(t, "src_uuid").groupBy("logical_day", F.col("dst_uuid").alias("node_uuid"), "event_type", "source_type").agg(F.round(F.sum(F.log1p("event_count")), 5).alias("context"))
+
+
+@query("""WITH c AS (SELECT event_type, median(value) AS center FROM events GROUP BY event_type), s AS (SELECT event_type, any_value(center) AS center, 1.4826 * median(abs(value - center)) AS scale FROM events JOIN c USING (event_type) GROUP BY event_type)
+SELECT event_type, round(center, 6) AS center, round(CASE WHEN scale > 1e-6 THEN scale ELSE coalesce((SELECT median(scale) FROM s WHERE scale > 1e-6), 1.0) END, 6) AS scale FROM s""")
+def median_mad(spark, sf):
+    return scoring.median_mad(table(spark, sf, "events"), "event_type", "value")
+
+
+@query(f"{ALL_SCORES}, {PERCENTILE} SELECT logical_day, node_uuid, entity_type, round(score, 6) AS score, round(q, 6) AS q FROM pct")
+def cdf_percentile(spark, sf):
+    return _percentiles(spark, sf).select("logical_day", "node_uuid", "entity_type", F.round("score", 6).alias("score"), F.round("q", 6).alias("q"))
+
+
+@query(f"{ALL_SCORES} SELECT logical_day, node_uuid, round(CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0.0 END, 6) AS scaled FROM scores WINDOW w AS (PARTITION BY logical_day)")
+def pg_minmax(spark, sf):
+    return scoring.minmax(_scores(spark, sf), "logical_day").select("logical_day", "node_uuid", F.round("scaled", 6).alias("scaled"))
+
+
+@query(f"""{ALL_SCORES}, {PERCENTILE}, b AS (SELECT *, least(256, CAST(ceil(CAST(0.075 AS DOUBLE) * count(*) OVER (PARTITION BY logical_day)) AS BIGINT)) AS budget FROM pct),
+r AS (SELECT *, row_number() OVER (PARTITION BY logical_day ORDER BY q DESC, node_uuid) AS rank FROM b WHERE q >= 0.95) SELECT logical_day, node_uuid, round(q, 6) AS q, rank, CASE WHEN q >= 0.99 THEN 'anchor' ELSE 'context_carrier' END AS role FROM r WHERE rank <= budget""")
+def select_per_pg(spark, sf):
+    return scoring.select_per_scope(_percentiles(spark, sf), "logical_day").select("logical_day", "node_uuid", F.round("q", 6).alias("q"), "rank", "role")
+
+
+@query(f"{ALL_SCORES}, r AS (SELECT logical_day, node_uuid, row_number() OVER (PARTITION BY logical_day ORDER BY score DESC, node_uuid) AS rank, count(*) OVER (PARTITION BY logical_day) AS n FROM scores) SELECT logical_day, node_uuid, rank FROM r WHERE rank <= greatest(1, ceil(n * CAST(0.05 AS DOUBLE)))")
+def pg_top_fraction(spark, sf):
+    return scoring.top_fraction(_scores(spark, sf), "logical_day").select("logical_day", "node_uuid", "rank")
+
+
+@query(f"""{ALL_SCORES}, lab AS (SELECT DISTINCT md5('u' || doc_id) AS node_uuid FROM labels WHERE toxic = 1), n AS (SELECT node_uuid, max(score) AS score, bool_or(score >= 2) AS candidate FROM scores GROUP BY node_uuid),
+j AS (SELECT n.*, lab.node_uuid IS NOT NULL AS label, row_number() OVER (ORDER BY score DESC, n.node_uuid) AS rank FROM n LEFT JOIN lab ON lab.node_uuid = n.node_uuid), l AS (SELECT count(*) AS labels FROM lab)
+SELECT count(*) AS nodes, count_if(candidate) AS candidates, any_value(labels) AS labels, count_if(candidate AND label) AS covered, round(count_if(candidate AND label) / greatest(count_if(candidate), 1), 6) AS precision, round(count_if(candidate AND label) / greatest(any_value(labels), 1), 6) AS recall,
+round(count_if(label AND rank <= 10) / greatest(any_value(labels), 1), 6) AS recall_at_10, round(count_if(label AND rank <= 50) / greatest(any_value(labels), 1), 6) AS recall_at_50, round(count_if(label AND rank <= 100) / greatest(any_value(labels), 1), 6) AS recall_at_100 FROM j, l""")
+def detector_eval(spark, sf):
+    labels = table(spark, sf, "labels").where("toxic = 1").select(F.md5(F.concat(F.lit("u"), F.col("doc_id").cast("string"))).alias("node_uuid"))
+    return scoring.evaluate(_scores(spark, sf).withColumn("is_candidate", F.col("score") >= 2), labels)
+
+
+@query(f"{FMG} SELECT format('day{{:02d}}', logical_day) AS pg_id, node_uuid, f[1] AS first_ns, f[2] AS first_evidence, l[1] AS last_ns, l[2] AS last_evidence FROM occ")
+def occurrences(spark, sf):
+    return fmg.occurrences(_fmg(spark, sf)[1])
+
+
+@query(f"{FMG} SELECT * FROM rel")
+def fmg_edges(spark, sf):
+    return fmg.relations(_fmg(spark, sf)[2])
+
+
+@query(f"{FMG}, allw AS (SELECT * FROM dir UNION ALL SELECT * FROM cont) SELECT 'fmg-' || substr(sha256(edge_type || chr(0) || src_community_id || chr(0) || dst_community_id), 1, 24) AS fmg_edge_id, row_number() OVER (PARTITION BY src_community_id, dst_community_id, edge_type ORDER BY ts, evidence_id, side, entity_uuid) - 1 AS witness_index, side, evidence_id, entity_uuid, ts AS timestamp_ns FROM allw")
+def fmg_witnesses(spark, sf):
+    return fmg.indexed(_fmg(spark, sf)[2])
+
+
+@query(f"{FMG} SELECT community_id, count(*) AS node_count FROM member GROUP BY community_id")
+def community_rollup(spark, sf):
+    return _fmg(spark, sf)[0].groupBy("community_id").agg(F.count(F.lit(1)).alias("node_count"))
+
+
+@query(f"""{FMG}, r AS (SELECT *, CASE evidence_semantics WHEN 'causal' THEN 1 ELSE 0 END AS c FROM rel), p AS (SELECT a.src_community_id AS left_id, a.dst_community_id AS middle_id, b.dst_community_id AS right_id, a.fmg_edge_id AS first_edge, b.fmg_edge_id AS second_edge, a.c + b.c AS k FROM r a JOIN r b ON b.src_community_id = a.dst_community_id
+WHERE a.src_community_id <> b.dst_community_id AND NOT EXISTS (SELECT 1 FROM rel x WHERE x.src_community_id = a.src_community_id AND x.dst_community_id = b.dst_community_id)), n AS (SELECT *, row_number() OVER (PARTITION BY left_id, right_id ORDER BY k DESC, middle_id, first_edge, second_edge) AS rank FROM p)
+SELECT left_id, middle_id, right_id, first_edge, second_edge, CASE k WHEN 2 THEN 'causal_path' WHEN 1 THEN 'mixed_path' ELSE 'identity_only_path' END AS path_class, rank FROM n WHERE rank <= 3""")
+def bridge_candidates(spark, sf):
+    return fmg.bridges(fmg.relations(_fmg(spark, sf)[2]))
+
+
+@query(f"{FMG}, n AS (SELECT src_community_id, dst_community_id, fmg_edge_id, row_number() OVER (PARTITION BY src_community_id ORDER BY CASE evidence_semantics WHEN 'causal' THEN 0 ELSE 1 END, first_witness_ns, dst_community_id, fmg_edge_id) AS rank FROM rel) SELECT * FROM n WHERE rank <= 3")
+def forward_neighborhood(spark, sf):
+    return fmg.forward_neighborhood(fmg.relations(_fmg(spark, sf)[2]))
+
+
+@query("""WITH t AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(source), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS b FROM documents), s AS (SELECT id, 4 * len(list_intersect(a, ['the', 'thing', 'src3'])) + len(list_intersect(b, ['the', 'thing', 'src3'])) AS score FROM t)
+SELECT id, CAST(score AS BIGINT) AS score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 5""")
+def technique_search(spark, sf):
+    return term_search(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name"), F.col("text").alias("body")), "The thing, src3")
+
+
+@query(f"""{WITH}, i AS (SELECT subject_uuid AS entity, timestamp_ns AS t0, event_uuid AS evidence_id FROM e WHERE event_type = 'EVENT_READ'), c AS (SELECT entity, evidence_id, min(timestamp_ns) AS callback_ns FROM i JOIN e ON subject_uuid = entity AND event_type = 'EVENT_SENDTO' AND timestamp_ns BETWEEN t0 AND t0 + {24 * HOUR} GROUP BY ALL),
+w AS (SELECT a.subject_uuid AS entity, a.timestamp_ns AS w, min(b.timestamp_ns) AS x FROM e a JOIN e b ON b.subject_uuid = a.subject_uuid AND a.event_type = 'EVENT_WRITE' AND b.event_type = 'EVENT_EXECUTE' AND b.timestamp_ns BETWEEN a.timestamp_ns AND a.timestamp_ns + {24 * HOUR} GROUP BY ALL),
+p AS (SELECT i.entity, evidence_id, min(w) AS w, arg_min(x, w) AS x FROM i JOIN w ON w.entity = i.entity AND w BETWEEN t0 AND t0 + {24 * HOUR} GROUP BY ALL), r AS (SELECT i.*, callback_ns, w, x, CASE WHEN callback_ns IS NOT NULL AND w IS NOT NULL THEN 3 WHEN callback_ns IS NOT NULL THEN 2 ELSE 1 END AS rank FROM i LEFT JOIN c USING (entity, evidence_id) LEFT JOIN p USING (entity, evidence_id)),
+n AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY rank DESC, t0, evidence_id DESC) AS o FROM r) SELECT entity, CASE rank WHEN 3 THEN 'supported' WHEN 2 THEN 'probable' ELSE 'attempted' END AS status, evidence_id, callback_ns, w AS write_ns, x AS execute_ns FROM n WHERE o = 1""")
+def ic_horizon(spark, sf):
+    ev = events(spark, sf).select(F.col("subject_uuid").alias("entity"), "timestamp_ns", F.col("event_uuid").alias("evidence_id"), "event_type")
+    kind = lambda t: ev.where(F.col("event_type") == t)
+    return control.ingress_patterns(kind("EVENT_READ"), kind("EVENT_SENDTO"), kind("EVENT_WRITE"), kind("EVENT_EXECUTE"), 24 * HOUR)
+
+
+@query("""SELECT o_orderkey AS state_id, CASE WHEN v IS NULL AND c IS NULL AND n IS NULL THEN 'stop' WHEN o_custkey % 5 = 0 THEN 'stop_budget' WHEN v IS NOT NULL THEN 'validate' WHEN c IS NOT NULL THEN 'retrieve_bridge' WHEN o_custkey % 2 = 0 THEN 'expand_left' ELSE 'stop_incomplete' END AS action,
+CASE WHEN v IS NULL AND c IS NULL AND n IS NULL THEN NULL WHEN o_custkey % 5 = 0 THEN coalesce(c, n, v) ELSE coalesce(v, c, n) END AS item
+FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'v' || o_orderkey END AS v, CASE WHEN o_orderkey % 4 = 0 THEN 'c' || o_orderkey END AS c, CASE WHEN o_orderkey % 5 = 0 THEN 'n' || o_orderkey END AS n FROM orders)""")
+def decide_v7(spark, sf):
+    o = table(spark, sf, "orders")
+    item = lambda k, name: F.when(F.col("o_orderkey") % k == 0, F.concat(F.lit(name), F.col("o_orderkey"))).alias
+    return control.decide(o.select(F.col("o_orderkey").alias("state_id"), item(3, "v")("open_validation"), item(4, "c")("open_connectivity"), item(5, "n")("open_entry"), (F.col("o_custkey") % 2 == 0).alias("left_open"), F.lit(False).alias("right_open"), (F.col("o_custkey") % 5).alias("remaining")))
+
+
+@query("""WITH s AS (SELECT *, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS nxt FROM lineitem), g AS (SELECT l_orderkey AS path_id, bool_and(nxt IS NULL OR nxt % 2 = l_suppkey % 2) AS connected, bool_and(l_quantity > 5) AS witnessed, bool_and(l_returnflag <> 'R') AS causal FROM s GROUP BY l_orderkey) SELECT *, connected AND witnessed AND causal AS valid FROM g""")
+def path_validation(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return control.path_validation(li.select(F.col("l_orderkey").alias("path_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("position"), (F.col("l_partkey") % 2).alias("src"), (F.col("l_suppkey") % 2).alias("dst"), F.when(F.col("l_returnflag") != "R", "causal").otherwise("identity_continuity").alias("semantics"), F.when(F.col("l_quantity") > 5, 1).otherwise(0).alias("witnesses")))
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 30 MINUTES, ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_30m(spark, sf):
+    """The batch form of the streaming query."""
+    from ..streaming.forward import tumbling_counts
+
+    return tumbling_counts(table(spark, sf, "events")).select(F.unix_micros("start").alias("start_us"), "event_type", F.col("count").alias("n"))
