@@ -89,7 +89,7 @@ def roles(touch: DataFrame, *scope: str) -> DataFrame:
     return t.groupBy(*scope, "node_uuid").agg(
         *(F.count_if(F.col("role") == r).alias(f"{r}_count") for r in ("subject", "predicate", "predicate2")), *(F.count_if(F.col("event_type") == a).alias(a.lower()) for a in VOCABULARY),
         F.count_if(F.col("event_type").isin(*VOCABULARY)).alias("event_count"), span.alias("activity_span_ns"), F.coalesce(F.max("gap"), F.lit(0)).alias("max_gap_ns"),
-        F.round(F.when(n > 1, span / (n - 1)).otherwise(F.lit(0.0)) / 1e9, 5).alias("mean_gap_s"),
+        F.round(F.when(n > 1, span / (n - 1)).otherwise(F.lit(0.0)) / 1e9, 9).alias("mean_gap_s"),
     )
 
 

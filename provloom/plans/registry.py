@@ -53,7 +53,7 @@ ROLES = """roles AS (
   SELECT logical_day, node_uuid, count_if(role = 'subject') AS subject_count, count_if(role = 'predicate') AS predicate_count, count_if(role = 'predicate2') AS predicate2_count,
     count_if(event_type = 'EVENT_EXECUTE') AS event_execute, count_if(event_type = 'EVENT_READ') AS event_read, count_if(event_type = 'EVENT_SENDTO') AS event_sendto, count_if(event_type = 'EVENT_WRITE') AS event_write,
     count_if(event_type IN ('EVENT_EXECUTE', 'EVENT_READ', 'EVENT_SENDTO', 'EVENT_WRITE')) AS event_count, max(timestamp_ns) - min(timestamp_ns) AS activity_span_ns, coalesce(max(gap), 0) AS max_gap_ns,
-    round(CASE WHEN count(*) > 1 THEN (max(timestamp_ns) - min(timestamp_ns)) / (count(*) - 1) ELSE 0.0 END / 1e9, 5) AS mean_gap_s
+    round(CASE WHEN count(*) > 1 THEN (max(timestamp_ns) - min(timestamp_ns)) / (count(*) - 1) ELSE 0.0 END / 1e9, 9) AS mean_gap_s
   FROM (SELECT *, timestamp_ns - lag(timestamp_ns) OVER (PARTITION BY logical_day, node_uuid ORDER BY timestamp_ns) AS gap FROM touch) GROUP BY logical_day, node_uuid)"""
 DEGREES = """deg AS (
   SELECT logical_day, node_uuid, count(i) AS in_degree, count(o) AS out_degree, count(DISTINCT n) AS unique_neighbor_count FROM (
