@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, batch, stored
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 #: Numbers that one range takes (about), and the least number of ranges.
 RANGE_NUMBERS = 1_500_000
 LEAST_RANGES = 64
@@ -34,8 +34,9 @@ def load(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
-def block_table(docs: DataFrame, text: str = "text", most: int = BLOCK_BYTES) -> DataFrame:
+def block_table(docs: DataFrame, text: str = "text", most: int | None = None) -> DataFrame:
     """block, n_rows, n_bytes, payload: all rows of docs in blocks of about `most` bytes of text."""
+    most = most or BLOCK_BYTES
 
     def run(batches):
         part, n = TaskContext.get().partitionId() << 24, 0

@@ -164,7 +164,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def distinct(x: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct numbers under 2**63 and how many of them are from training."""
-        y = np.sort(x << np.uint64(1) | train)
+        y = x << np.uint64(1)
+        y |= train
+        y.sort()
         k = y >> np.uint64(1)
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         return k[first], np.add.reduceat(y & np.uint64(1), first) if len(k) else y
