@@ -106,8 +106,10 @@ def bits_for(numbers: int) -> int:
 
 def range_cuts(sorted_numbers: np.ndarray, bits: int, ranges: int) -> Iterator[tuple[int, int, int]]:
     """(range, from, to) of each range that has numbers; ranges are equal shares of the hash's values."""
-    g = (sorted_numbers >> np.uint64(bits - (ranges - 1).bit_length())).astype(np.int64) if ranges > 1 else np.zeros(len(sorted_numbers), np.int64)
-    edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+    if not len(sorted_numbers):
+        return
+    g = (sorted_numbers >> np.uint64(bits - (ranges - 1).bit_length())).astype(np.int64)
+    edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
     for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(g)], strict=True):
         yield int(g[a]), a, b
 

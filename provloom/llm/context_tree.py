@@ -176,7 +176,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         spot = np.flatnonzero(np.concatenate([[True], (key[1:] >> shift) != (key[:-1] >> shift)])) if len(key) else np.zeros(0, np.int64)
         g = np.repeat(range_of(key[spot]), np.diff(np.append(spot, len(key))))
         order = np.argsort(g, kind="stable")
-        edge = np.flatnonzero(np.concatenate([[True], g[order][1:] != g[order][:-1]])) if len(g) else np.zeros(0, np.int64)
+        if not len(g):
+            return
+        edge = np.flatnonzero(np.concatenate([[True], g[order][1:] != g[order][:-1]]))
         for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(g)], strict=True):
             yield int(g[order[a]]), order[a:b]
 
