@@ -68,7 +68,15 @@ def _delete(spark: SparkSession, to: str) -> None:
         return
 
 
+#: Rows of one Arrow batch. Spark's default of 10,000 documents can be far over a worker's share of memory.
+ARROW_ROWS = 1000
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow in batches of at most ARROW_ROWS rows (sets the session's batch size where it is larger)."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
     return df.mapInArrow(fn, schema)
 
 
