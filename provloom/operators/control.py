@@ -46,3 +46,105 @@ def path_validation(steps: DataFrame) -> DataFrame:
     w = Window.partitionBy("path_id").orderBy("position")
     joined = steps.withColumn("next_src", F.lead("src").over(w))
     return joined.groupBy("path_id").agg(F.bool_and(F.col("next_src").isNull() | (F.col("next_src") == F.col("dst"))).alias("connected"), F.bool_and(F.col("witnesses") > 0).alias("witnessed"), F.bool_and(F.col("semantics") == "causal").alias("causal")).withColumn("valid", F.col("connected") & F.col("witnessed") & F.col("causal"))
+
+
+def scope_assessment(atoms: DataFrame, entities: DataFrame, ports: tuple[int, ...] = (80, 443)) -> DataFrame:
+    """Entry through a public service, per scope, by order inside the scope alone.
+
+    atoms: scope_id, src, dst, event_type, timestamp_ns, evidence_id, community_id; entities: entity_id,
+    entity_type, external (a flow from outside), local_port. Returns scope_id, status (conflicted, absent,
+    attempted, probable, supported), entry_subject_id, entry_flow_id, first_local_subject_id, community_ids,
+    evidence_ids. First later events are minima over following rows, so each step is one sort and nothing is paired.
+    """
+    from pyspark.sql.window import Window
+
+    def facts(p: str) -> DataFrame:
+        return entities.select(F.col("entity_id").alias(p), F.col("entity_type").alias(f"{p}_type"), F.col("external").alias(f"{p}_external"), F.col("local_port").alias(f"{p}_port"))
+
+    a = atoms.join(facts("src"), "src", "left").join(facts("dst"), "dst", "left")
+    bad = (F.col("timestamp_ns") < 0) | F.col("src_type").isNull() | F.col("dst_type").isNull()
+    conflicts = a.where(bad).groupBy("scope_id").agg(F.array_sort(F.collect_set("evidence_id")).alias("bad_ids"))
+    it, process = F.col("event_type"), "SUBJECT_PROCESS"
+    atom = F.struct("timestamp_ns", "evidence_id", "dst", "community_id")
+
+    def later(key: str):
+        return Window.partitionBy("scope_id", key).orderBy("timestamp_ns").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+
+    wrote, ran = (it == "EVENT_WRITE") & F.col("dst_type").startswith("FILE_OBJECT"), (it == "EVENT_EXECUTE") & (F.col("dst_type") == process)
+    files = a.where(wrote | ran).withColumn("file", F.when(wrote, F.col("dst")).otherwise(F.col("src"))).withColumn("x", F.min(F.when(ran, atom)).over(later("file")))
+    columns = ["scope_id", "timestamp_ns", "evidence_id", "dst", "src", "community_id"]
+    effects = files.where(wrote & F.col("x").isNotNull()).select(*columns, F.col("src").alias("who"), F.lit("effect").alias("part"), "x")
+    called = it.isin("EVENT_CONNECT", "EVENT_SENDTO", "EVENT_SENDMSG") & F.col("dst_external")
+    entered = it.isin("EVENT_ACCEPT", "EVENT_RECVFROM", "EVENT_RECVMSG") & F.col("src_external") & F.col("src_port").isin(*ports) & (F.col("dst_type") == process)
+    none = F.lit(None).cast(files.schema["x"].dataType).alias("x")
+    steps = effects.unionByName(a.where(called).select(*columns, F.col("src").alias("who"), F.lit("callback").alias("part"), none)).unionByName(a.where(entered).select(*columns, F.col("dst").alias("who"), F.lit("entry").alias("part"), none))
+    effect = F.struct("timestamp_ns", "evidence_id", "community_id", "x")
+    steps = steps.withColumns({"callback": F.min(F.when(F.col("part") == "callback", atom)).over(later("who")), "effect": F.min(F.when(F.col("part") == "effect", effect)).over(later("who"))})
+    rank = F.col("callback").isNotNull().cast("int") + F.col("effect").isNotNull().cast("int") + 1
+    best = steps.where("part = 'entry'").groupBy("scope_id").agg(F.min(F.struct((-rank).alias("r"), "timestamp_ns", "evidence_id", "dst", "src", "community_id", "callback", "effect")).alias("b"))
+    out = atoms.select("scope_id").distinct().join(conflicts, "scope_id", "left").join(best, "scope_id", "left")
+    some = lambda field: F.array_sort(F.array_distinct(F.array_compact(F.array(F.col(f"b.{field}"), F.col(f"b.callback.{field}"), F.col(f"b.effect.{field}"), F.col(f"b.effect.x.{field}")))))
+    fine, empty = F.col("bad_ids").isNull(), F.array().cast("array<string>")
+    status = F.when(~fine, "conflicted").when(F.col("b").isNull(), "absent").otherwise(F.element_at(F.array(F.lit("attempted"), F.lit("probable"), F.lit("supported")), -F.coalesce(F.col("b.r"), F.lit(-1))))
+    return out.select(
+        "scope_id", status.alias("status"), F.when(fine, F.col("b.dst")).alias("entry_subject_id"), F.when(fine, F.col("b.src")).alias("entry_flow_id"), F.when(fine, F.coalesce("b.effect.x.dst", "b.dst")).alias("first_local_subject_id"),
+        F.when(fine & F.col("b").isNotNull(), some("community_id")).otherwise(empty).alias("community_ids"), F.when(~fine, F.col("bad_ids")).when(F.col("b").isNotNull(), some("evidence_id")).otherwise(empty).alias("evidence_ids"),
+    )
+
+
+def stitch_chain(steps: DataFrame, starts: DataFrame) -> DataFrame:
+    """Per path: identity steps that share no entity with the latest valid identity step (or the start's entities).
+    steps: path_id, position, edge_id, semantics, entities (array); starts: path_id, entities. Causal steps do not count."""
+    mine = steps.where("semantics = 'identity_continuity'").groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("position", "edge_id", "entities"))).alias("chain"))
+    rows = starts.select("path_id", F.col("entities").alias("eligible")).join(mine, "path_id", "left")
+    first = F.struct(F.col("eligible"), F.array().cast("array<string>").alias("invalid"))
+
+    def step(acc, x):
+        fits = F.coalesce(F.arrays_overlap(acc["eligible"], x["entities"]), F.lit(False))
+        return F.struct(F.when(fits, x["entities"]).otherwise(acc["eligible"]).alias("eligible"), F.when(fits, acc["invalid"]).otherwise(F.array_append(acc["invalid"], x["edge_id"])).alias("invalid"))
+
+    done = F.coalesce(F.aggregate("chain", first, step), first)
+    return rows.select("path_id", (F.size(done["invalid"]) == 0).alias("valid"), done["invalid"].alias("invalid_edge_ids"))
+
+
+# Kinds of open items that ask for more scope, in order, each with its action.
+SCOPE_GAPS = {"left_time": "extend_left", "right_time": "extend_right", "host_scope": "extend_host"}
+
+
+def next_action(states: DataFrame, items: DataFrame) -> DataFrame:
+    """Action of each state: state_id, action, reason, item_id, terminal.
+
+    states: state_id, ic_status, remaining, can_left, can_right, can_host (more scope there); items: state_id,
+    item_id, gap_type, status, critical, direction, reason. Of a kind, the open critical item with the smallest id
+    counts. One aggregation makes those first items columns; the rest is a decision table.
+    """
+    one = F.struct("item_id", F.col("reason").alias("why"), "direction")
+    kinds = ("evidence_integrity", "connectivity", "entry", "stage_constraint", *SCOPE_GAPS, "competition")
+    firsts = items.where("critical and status = 'open'").groupBy("state_id").agg(F.min(one).alias("any"), *(F.min(F.when(F.col("gap_type") == k, one)).alias(k) for k in kinds))
+    s = states.join(firsts, "state_id", "left")
+    status, entry = F.col("ic_status"), F.col("entry.item_id")
+
+    def row(action, reason, item, terminal: bool = False):
+        as_column = lambda x: x if not isinstance(x, str) else F.lit(x)
+        return F.struct(as_column(action).alias("action"), as_column(reason).alias("reason"), F.lit(item).cast("string").alias("item_id") if item is None else item.alias("item_id"), F.lit(terminal).alias("terminal"))
+
+    def of(kind: str, action) -> object:
+        return row(action, F.col(f"{kind}.why"), F.col(f"{kind}.item_id"))
+
+    def room(direction):
+        return F.when(direction == "left", F.col("can_left")).when(direction == "right", F.col("can_right")).when(direction == "host", F.col("can_host")).otherwise(False)
+
+    stage = F.col("stage_constraint.direction")
+    out = F.when(F.col("any").isNull() & (status == "supported"), row("stop_complete", "ic_supported_and_frontier_closed", None, True))
+    out = out.when(F.col("remaining") <= 0, row("stop_limited", "action_budget_exhausted", F.col("any.item_id"), True))
+    out = out.when((status == "conflicted") | F.col("evidence_integrity").isNotNull(), row("verify_claim", "invalid_or_conflicting_evidence", F.col("evidence_integrity.item_id")))
+    out = out.when(F.col("connectivity").isNotNull(), of("connectivity", "retrieve_bridge"))
+    out = out.when((status == "absent") & F.col("can_left"), row("extend_left", "entry_not_observed", entry)).when((status == "absent") & F.col("can_host"), row("extend_host", "entry_may_be_cross_host", entry)).when(status == "absent", row("stop_limited", "entry_evidence_unavailable", entry, True))
+    part = status.isin("attempted", "probable")
+    out = out.when(part & F.col("can_right"), row("extend_right", "entry_success_not_yet_evidenced", entry)).when(part, row("stop_limited", "entry_consequence_unavailable", entry, True))
+    has = F.col("stage_constraint").isNotNull()
+    out = out.when(has & ((stage == "none") | room(stage)), of("stage_constraint", F.when(stage == "none", "verify_claim").otherwise(F.concat(F.lit("extend_"), stage)))).when(has, row("stop_limited", "stage_evidence_unavailable", F.col("stage_constraint.item_id"), True))
+    for kind, action in SCOPE_GAPS.items():
+        out = out.when(F.col(kind).isNotNull() & room(F.col(f"{kind}.direction")), of(kind, action)).when(F.col(kind).isNotNull(), row("stop_limited", "frontier_scope_unavailable", F.col(f"{kind}.item_id"), True))
+    out = out.when(F.col("competition").isNotNull(), of("competition", "verify_claim")).when(F.col("any").isNotNull(), of("any", "verify_claim")).otherwise(row("stop_limited", "initial_compromise_not_supported", None, True))
+    return s.select("state_id", out.alias("d")).select("state_id", "d.*")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import term_search
-from ..operators import control, fmg, graph, scoring
+from ..operators import control, evaluation, fmg, graph, residual, scoring, traversal
 from ..sources import adapter
 from ..sources.adapter import DAY_NS, FIRST_DAY_NS, SQL_EVENTS, SQL_NODES, events, node_definitions, table
 
@@ -287,3 +287,65 @@ def tumbling_30m(spark, sf):
     from ..streaming.forward import tumbling_counts
 
     return tumbling_counts(table(spark, sf, "events")).select(F.unix_micros("start").alias("start_us"), "event_type", F.col("count").alias("n"))
+
+
+def _context(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compressed edges, anchors (q of 0.99 or more) and scores of whole days."""
+    q = _day(_percentiles(spark, sf)).select("pg_id", "node_uuid", "q")
+    return graph.compress(graph.edges(_day(events(spark, sf))), "pg_id"), q.where("q >= 0.99").select("pg_id", "node_uuid"), q
+
+
+@query()
+def bounded_search(spark, sf):
+    return traversal.bounded_search(*_context(spark, sf)[:2])
+
+
+@query()
+def neighbor_cover(spark, sf):
+    return traversal.neighbor_cover(*_context(spark, sf))
+
+
+@query()
+def bounded_context(spark, sf):
+    return traversal.bounded_context(*_context(spark, sf))
+
+
+@query("""WITH d AS (SELECT o_orderpriority AS dataset, o_custkey % 97 AS depth, count(*) AS n FROM orders GROUP BY ALL), c AS (SELECT a.dataset, a.depth AS k, sum(b.n * abs(a.depth - b.depth)) / sum(b.n) AS m FROM d a JOIN d b USING (dataset) GROUP BY ALL)
+SELECT dataset, CAST(k AS BIGINT) AS k, round(m, 6) AS mean_distance FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY m, k) AS o FROM c) WHERE o = 1""")
+def fixed_depth(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("dataset"), (F.col("o_custkey") % 97).alias("depth"))
+    return evaluation.fixed_depth(o, "dataset").withColumn("mean_distance", F.round("mean_distance", 6))
+
+
+@query()
+def graph_jaccard(spark, sf):
+    """Days of each event type as true graphs, against days that begin twelve hours later."""
+    def parts(shift: int):
+        e = graph.edges(events(spark, sf)).withColumns({"run": F.col("event_type"), "graph_id": F.expr(f"cast((timestamp_ns + {shift}) div {DAY_NS} as string)")})
+        start = F.col("graph_id").cast("long") * DAY_NS - shift
+        graphs = e.select("run", "graph_id").distinct().select("run", "graph_id", start.alias("start_ns"), (start + DAY_NS).alias("end_ns"))
+        return graphs, e.select("run", "graph_id", F.explode(F.array("src_uuid", "dst_uuid")).alias("item")), e.select("run", "graph_id", F.concat_ws(":", "src_uuid", "dst_uuid").alias("item"))
+
+    (t, tn, te), (p, pn, pe) = parts(0), parts(12 * HOUR)
+    return evaluation.graph_jaccard(t, p, tn, pn, te, pe)
+
+
+@query()
+def calibrated_residuals(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").alias("entity_type_id"), F.array(*(F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))).alias("residual"))
+    old = F.col("l_orderkey") % 2 == 0
+    return residual.calibrated(li.where(old), li.where(~old), residual.shrinkage_models(li.where(old), n_min=128, pooled=True)).select("l_orderkey", "l_linenumber", F.round("score", 6).alias("score"), "q")
+
+
+@query("""WITH s AS (SELECT o_orderkey AS state_id, CASE o_orderkey % 4 WHEN 0 THEN 'supported' WHEN 1 THEN 'probable' WHEN 2 THEN 'absent' ELSE 'conflicted' END AS st, o_custkey % 6 AS r, o_custkey % 2 = 0 AS l, o_custkey % 3 = 0 AS g, o_custkey % 5 = 0 AS h FROM orders),
+i AS (SELECT l_orderkey AS state_id, l_linenumber AS item, CASE l_partkey % 3 WHEN 0 THEN 'connectivity' WHEN 1 THEN 'left_time' ELSE 'competition' END AS k FROM lineitem WHERE l_returnflag = 'R'),
+f AS (SELECT state_id, min(item) AS a, min(item) FILTER (k = 'connectivity') AS c, min(item) FILTER (k = 'left_time') AS t, min(item) FILTER (k = 'competition') AS p FROM i GROUP BY 1), j AS (SELECT * FROM s LEFT JOIN f USING (state_id))
+SELECT state_id, CASE WHEN a IS NULL AND st = 'supported' THEN 'stop_complete' WHEN r <= 0 THEN 'stop_limited' WHEN st = 'conflicted' THEN 'verify_claim' WHEN c IS NOT NULL THEN 'retrieve_bridge' WHEN st = 'absent' THEN CASE WHEN l THEN 'extend_left' WHEN h THEN 'extend_host' ELSE 'stop_limited' END
+WHEN st = 'probable' THEN CASE WHEN g THEN 'extend_right' ELSE 'stop_limited' END WHEN t IS NOT NULL THEN CASE WHEN l THEN 'extend_left' ELSE 'stop_limited' END ELSE 'verify_claim' END AS action,
+CAST(CASE WHEN a IS NULL AND st = 'supported' THEN NULL WHEN r <= 0 THEN a WHEN st = 'conflicted' THEN NULL WHEN c IS NOT NULL THEN c WHEN st IN ('absent', 'probable') THEN NULL ELSE coalesce(t, p) END AS VARCHAR) AS item_id FROM j""")
+def next_action(spark, sf):
+    st, r = F.col("o_orderkey") % 4, F.col("o_custkey")
+    states = table(spark, sf, "orders").select(F.col("o_orderkey").alias("state_id"), F.when(st == 0, "supported").when(st == 1, "probable").when(st == 2, "absent").otherwise("conflicted").alias("ic_status"), (r % 6).alias("remaining"), (r % 2 == 0).alias("can_left"), (r % 3 == 0).alias("can_right"), (r % 5 == 0).alias("can_host"))
+    k = F.col("l_partkey") % 3
+    items = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("state_id"), F.col("l_linenumber").cast("string").alias("item_id"), F.when(k == 0, "connectivity").when(k == 1, "left_time").otherwise("competition").alias("gap_type"), F.lit("open").alias("status"), F.lit(True).alias("critical"), F.lit("left").alias("direction"), F.lit("asked").alias("reason"))
+    return control.next_action(states, items).select("state_id", "action", "item_id")
