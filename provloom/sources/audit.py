@@ -191,6 +191,8 @@ def build_store(spark: SparkSession, path: str, store: str, directions: dict, ph
     """
     todo, done = shards(spark, path), manifest(spark, store)
     if done is not None:
+        if not todo.join(done.select("source", F.col("raw_shard").alias("before")), "source").where("raw_shard <> before").isEmpty():
+            raise ValueError("new files change the numbers of stored shards: build a new store")
         todo = todo.join(done.select("source", "source_bytes"), ["source", "source_bytes"], "left_anti")
     files = [r["source"] for r in todo.select("source").collect()]  # names of files only
     if not files:

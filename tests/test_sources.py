@@ -68,6 +68,10 @@ def test_store_is_built_once_and_resumed(spark, tmp_path):
     assert spark.read.parquet(f"{out}/events").count() == 3
     assert audit.build_store(spark, str(src), out, DIRECTIONS, PHASES, DAYS).count() == 2
     placed = audit.lines(spark, str(src / "a.json"))
+    write(src / "a0.json", ["{}"])
+    write(src / "Z.json", ["{}"])
+    with pytest.raises(ValueError):
+        audit.build_store(spark, str(src), out, DIRECTIONS, PHASES, DAYS)
     hit = audit.evidence(placed, placed.where("raw_line = 3").select("source", "raw_offset")).collect()
     assert [h.uuid[-1] for h in hit] == [3]
 
