@@ -46,14 +46,17 @@ def thin(links: DataFrame) -> DataFrame:
     return arrow_map(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), run, "a long, b long")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 60, thinned: bool = False) -> DataFrame:
     """id, root (smallest id reachable) for every id in links (a, b); ids without links are not in it.
 
+    thinned: the tasks that made the links have thinned them; another pass would only keep a second Python
+    worker beside each of theirs.
+
     Each round takes every id's links to its smallest neighbour (large star: larger neighbours; small star: the
     id and its smaller ones), thinned within partitions first. Rounds grow with the logarithm of the longest
     chain. Links are kept in the shared folder between rounds, so nothing is gathered on the driver.
     """
-    now = stored(thin(links).where("a <> b").distinct())
+    now = stored((links if thinned else thin(links)).where("a <> b").distinct())
     print_ = None
     for _ in range(most_rounds):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -219,7 +219,7 @@ def simhash_groups(docs: DataFrame, k: int = 3, budget: int = 3, id_col: str = "
     """
     rows = stored(fingerprints(docs, k, 1, id_col, text_col))
     classes = stored(rows.groupBy("f0").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("low")))
-    roots = components(near_links(classes.select(F.col("f0").alias("id"), F.col("f0").alias("fp")), 64, budget))
+    roots = components(near_links(classes.select(F.col("f0").alias("id"), F.col("f0").alias("fp")), 64, budget), thinned=True)
     named = classes.join(roots, classes["f0"] == roots["id"], "left").select("f0", "low", F.coalesce("root", "f0").alias("root"))
     named = stored(named)
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -245,6 +245,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = stored(fingerprints(docs, SIMILAR_SHINGLE, SIMILAR_WORDS, id_col, text_col))
     classes = stored(rows.groupBy(*names).agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id")))
     fps = tuple(fp for n in names for fp in (F.col(n), F.shiftleft(F.col(n), 32)))
-    roots = components(near_links(classes, 32, 3, fps, tuple(names), SIMILAR_BITS))
+    roots = components(near_links(classes, 32, 3, fps, tuple(names), SIMILAR_BITS), thinned=True)
     lowest = stored(classes.join(roots, "id", "left").select(*names, F.coalesce("root", "id").alias("component_id")))
     return rows.join(lowest, names).select("doc_id", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
