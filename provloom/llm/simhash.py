@@ -20,7 +20,7 @@ BATCH_BYTES = 2_000_000
 NODE_ROWS = 20_000
 TASK_ROWS = 60_000
 #: Pairs of trie nodes that are looked at together, and leaf pairs under which a pair of nodes is compared at once.
-FRONTIER = 200_000
+FRONTIER = 8_000
 LEAF_PAIRS = 64
 STRIDE = 4
 
