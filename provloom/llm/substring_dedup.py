@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from . import blocks as B
 from .common import NO_ID, arrow_map, discard, id_and_text, stored, utf8
@@ -230,7 +232,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, texts: bool = False, id_col
     paths = third.where("path is not null").select("block", "path", "first")
     firsts = paths.groupBy("path").agg(F.min("first").alias("source"))
     answers = paths.join(firsts, "path").select(F.col("block").alias("asked_by"), "path", "source")
-    final_schema = pa.schema([("done", pa.binary())])
+    final_schema = to_arrow_schema(_parse_datatype_string(kinds))
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -246,14 +248,14 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, texts: bool = False, id_col
             for d, start, n, path in zip(*(found.column(c).to_pylist() for c in ("doc", "start", "length", "path")), strict=True):
                 if source[path] < ids[d]:
                     gone.setdefault(d, np.zeros(counts[d], bool))[start : start + n] = True
-            out.append(B.dump(finish(t, counts, gone)))
-        return pa.table({"done": pa.array(out, pa.binary())})
+            out.append(finish(t, counts, gone))
+        return pa.concat_tables(out)
 
-    changed = third.where("payload is not null").select("block", "payload").groupBy("block").cogroup(answers.groupBy("asked_by")).applyInArrow(remove, "done binary")
+    changed = third.where("payload is not null").select("block", "payload").groupBy("block").cogroup(answers.groupBy("asked_by")).applyInArrow(remove, kinds)
 
     def rows_out(batches):
         for b in batches:
             for done in b.column("done").to_pylist():
                 yield from B.load(done).to_batches(max_chunksize=5000)
 
-    return arrow_map(second.where("done is not null").select("done").union(changed), rows_out, kinds)
+    return arrow_map(second.where("done is not null").select("done"), rows_out, kinds).union(changed)
