@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, arrow_map, batch, by_bytes, id_and_text, rows_of, stored
+from .common import BROADCAST_IDS, NO_ID, arrow_map, batch, by_bytes, id_and_text, rows_of, stored
 from .exact_dedup import mix
 from .graph import components, forest
 
@@ -59,18 +59,34 @@ def majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, k: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and `words` fingerprints of 64 bits (f0, f1, ...) of each text; f0 is over XXH64 itself, others over hashes derived from it."""
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """The distinct shingles of a text, sorted."""
+    return np.unique(np.array(shingle_hashes(text, k), np.uint64))
+
+
+def set_id(shingles: np.ndarray) -> int:
+    """One id for all texts with the same shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))
+
+
+def fingerprints(docs: DataFrame, k: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
+    """doc_id and `words` fingerprints of 64 bits (f0, f1, ...) of each text; f0 is over XXH64 itself, others over hashes derived from it.
+
+    sets: each shingle counts once however often the text repeats it; with n (their number) and id (set_id).
+    """
 
     def run(batches):
         for group in by_bytes(rows_of(batches), lambda r: len(r[1]) + 64, BATCH_BYTES):
-            each = [shingle_hashes(t, k) for _, t in group]
+            each = [shingle_set(t, k) if sets else shingle_hashes(t, k) for _, t in group]
             sizes = np.fromiter(map(len, each), np.int64, len(each))
             h = np.fromiter(chain.from_iterable(each), np.uint64, int(sizes.sum()))
             cols = {f"f{w}": (majority(mix(h + np.uint64(0x9E3779B97F4A7C15 * w & (2**64 - 1))) if w else h, sizes).view(np.int64), pa.int64()) for w in range(words)}
+            if sets:
+                cols |= {"n": (sizes, pa.int64()), "id": ([set_id(x) for x in each], pa.int64())}
             yield batch(doc_id=([i for i, _ in group], pa.int64()), **cols)
 
-    return arrow_map(id_and_text(docs, id_col, text_col), run, "doc_id long, " + ", ".join(f"f{w} long" for w in range(words)))
+    names = [f"f{w}" for w in range(words)] + (["n", "id"] if sets else [])
+    return arrow_map(id_and_text(docs, id_col, text_col), run, "doc_id long, " + ", ".join(f"{x} long" for x in names))
 
 
 def _grid(na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,12 +149,13 @@ def trie_pairs(key: np.ndarray, side: np.ndarray, fp: np.ndarray, budget: int, b
         stack.append((depth + STRIDE, np.stack([at[i], at[i + 1], at[j], at[j + 1], used])[:, good]))
 
 
-def near_links(points: DataFrame, bits: int = 64, budget: int = 3, fps: tuple[Column, ...] = (), checks: tuple[str, ...] = (), most_bits: int = 0) -> DataFrame:
+def near_links(points: DataFrame, bits: int = 64, budget: int = 3, fps: tuple[Column, ...] = (), checks: tuple[str, ...] = (), most_bits: int = 0, thinned: bool = True) -> DataFrame:
     """Links (a, b) of ids with a fingerprint (column fp, or any of the columns fps, in its `bits` highest bits)
     in which they differ by at most `budget` bits, thinned to spanning forests inside each task (components are
     those of all links).
 
     checks: more fingerprint columns; linked rows must differ in at most most_bits bits of them altogether.
+    thinned=False: all links (some more than once), for callers that test them and so need each.
     Of two fingerprints within the budget, one of budget + 1 blocks of bits is the same; so the trie is joined
     once for each block, turned to have that block first, and the nodes under equal blocks are the tasks. A
     node with over NODE_ROWS rows is opened by eight more bits, its pairs of children within the budget becoming
@@ -197,11 +214,16 @@ def near_links(points: DataFrame, bits: int = 64, budget: int = 3, fps: tuple[Co
                 x, y = x[good], y[good]
             found.append((ids[x], ids[y]))
             held += len(x)
-            if held > 500_000:
+            if held > 500_000 and not thinned:
+                a, b = map(np.concatenate, zip(*found, strict=True))
+                yield batch(a=(a, pa.int64()), b=(b, pa.int64()))
+                found, held = [], 0
+            elif held > 500_000:
                 found = [forest(*map(np.concatenate, zip(*found, strict=True)))]
                 held = len(found[0][0])
         if found:
-            a, b = forest(*map(np.concatenate, zip(*found, strict=True)))
+            a, b = map(np.concatenate, zip(*found, strict=True))
+            a, b = forest(a, b) if thinned else (a, b)
             yield batch(a=(a, pa.int64()), b=(b, pa.int64()))
 
     rows = rows.select("id", *checks, "fp", F.col("side").cast("int").alias("side"), F.xxhash64("key").alias("k"))
@@ -234,17 +256,42 @@ SIMILAR_WORDS = 5
 SIMILAR_BITS = 50
 
 
+def similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of pairs (a, b) of classes (id, n, low: a doc_id with the set) those whose sets of shingles have a Jaccard similarity of 0.8 or more.
+
+    Only texts of paired classes are read again. Equal ids may stand for several texts, so a set is taken by its set_id.
+    """
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    wanted = stored(classes.join(ids, "id").select("low").distinct())
+
+    def run(batches):
+        for group in by_bytes(rows_of(batches), lambda r: len(r[1]) + 64, BATCH_BYTES):
+            each = [shingle_set(t, SIMILAR_SHINGLE) for _, t in group]
+            yield batch(id=([set_id(x) for x in each], pa.int64()), s=([x.view(np.int64) for x in each], pa.list_(pa.int64())))
+
+    texts = id_and_text(docs, id_col, text_col).withColumn("low", F.coalesce("doc_id", F.lit(NO_ID)))
+    texts = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "low", "left_semi").drop("low")
+    sets = stored(arrow_map(texts, run, "id long, s array<long>").groupBy("id").agg(F.first("s").alias("s")))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    # common / (sum of sizes - common) >= 4/5
+    return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, component_id, for texts whose five-word shingles have a similarity of about 0.8 or more.
+    """One row per row of docs: doc_id, component_id, for texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    A single fingerprint with three errors finds only texts that are almost equal. So each text gets 320 bits,
+    A single fingerprint with three errors finds only texts that are almost equal. So each set gets 320 bits,
     cut into ten fingerprints of 32; ten trie self-joins with three errors each propose pairs (a pair at 0.8 is
-    in one of them with over 0.95), and all 320 bits decide. Nulls, ties and empty texts as in simhash_groups.
+    in one of them with over 0.95), all 320 bits drop those that are far apart, and the sets themselves decide.
+    Equal sets are one class. Texts without words are similar to each other only. Nulls and ties as in simhash_groups.
     """
     names = [f"f{w}" for w in range(SIMILAR_WORDS)]
-    rows = stored(fingerprints(docs, SIMILAR_SHINGLE, SIMILAR_WORDS, id_col, text_col))
-    classes = stored(rows.groupBy(*names).agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id")))
+    rows = stored(fingerprints(docs, SIMILAR_SHINGLE, SIMILAR_WORDS, id_col, text_col, sets=True))
+    classes = stored(rows.groupBy("id", "n", *names).agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("low")))
     fps = tuple(fp for n in names for fp in (F.col(n), F.shiftleft(F.col(n), 32)))
-    roots = components(near_links(classes, 32, 3, fps, tuple(names), SIMILAR_BITS), thinned=True)
-    lowest = stored(classes.join(roots, "id", "left").select(*names, F.coalesce("root", "id").alias("component_id")))
-    return rows.join(lowest, names).select("doc_id", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
+    pairs = stored(near_links(classes, 32, 3, fps, tuple(names), SIMILAR_BITS, thinned=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    roots = components(similar(docs, classes, pairs, id_col, text_col))
+    named = stored(classes.join(roots, "id", "left").select("id", "low", F.coalesce("root", "id").alias("root")))
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    by_class = named.join(lowest, "root").select("id", "component_id")
+    return rows.join(by_class, "id").select("doc_id", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
