@@ -65,16 +65,34 @@ def indexed(witness: DataFrame) -> DataFrame:
     return witness.select(edge_id(F.col("edge_type"), F.col("src_community_id"), F.col("dst_community_id")).alias("fmg_edge_id"), (F.row_number().over(w) - 1).cast("long").alias("witness_index"), "side", "evidence_id", "entity_uuid", "timestamp_ns")
 
 
-def bridges(relation: DataFrame) -> DataFrame:
-    """Two-step paths between communities without a direct relation, ranked for each pair of ends: causal steps first."""
+def bridges(relation: DataFrame, communities: DataFrame | None = None, excluded: DataFrame | None = None, witness: DataFrame | None = None) -> DataFrame:
+    """All two-step paths between communities without a direct relation, ranked for each pair of ends: causal steps first.
+
+    communities (community_id, start_ns, end_ns): only middles that overlap the time from the first start to the last end
+    of both ends. excluded (left_id, right_id, middle_id): middles not to use between two ends; they take no rank.
+    witness: rows as of relations(); adds witness_ids, the sorted evidence ids of both steps.
+    """
     r = relation.select("src_community_id", "dst_community_id", "fmg_edge_id", (F.col("evidence_semantics") == "causal").cast("int").alias("c"))
     one = r.select(F.col("src_community_id").alias("left_id"), F.col("dst_community_id").alias("middle_id"), F.col("fmg_edge_id").alias("first_edge"), F.col("c").alias("c1"))
     two = r.select(F.col("src_community_id").alias("middle_id"), F.col("dst_community_id").alias("right_id"), F.col("fmg_edge_id").alias("second_edge"), F.col("c").alias("c2"))
     ends = r.select(F.col("src_community_id").alias("left_id"), F.col("dst_community_id").alias("right_id")).distinct()
     path = one.join(two, "middle_id").where("left_id <> right_id").join(ends, ["left_id", "right_id"], "left_anti").withColumn("causal_count", F.col("c1") + F.col("c2"))
+    if excluded is not None:
+        path = path.join(excluded.select("left_id", "right_id", "middle_id").distinct(), ["left_id", "right_id", "middle_id"], "left_anti")
+    if communities is not None:
+        for side in ("left", "middle", "right"):
+            path = path.join(communities.select(F.col("community_id").alias(f"{side}_id"), F.col("start_ns").alias(f"{side}_start"), F.col("end_ns").alias(f"{side}_end")), f"{side}_id")
+        path = path.where((F.col("middle_end") > F.least("left_start", "right_start")) & (F.col("middle_start") < F.greatest("left_end", "right_end")))
     w = Window.partitionBy("left_id", "right_id").orderBy(F.desc("causal_count"), "middle_id", "first_edge", "second_edge")
     kind = F.when(F.col("causal_count") == 2, "causal_path").when(F.col("causal_count") == 1, "mixed_path").otherwise("identity_only_path")
-    return path.select("left_id", "middle_id", "right_id", "first_edge", "second_edge", kind.alias("path_class"), F.row_number().over(w).cast("long").alias("rank")).where("rank <= 3")
+    out = path.select("left_id", "middle_id", "right_id", "first_edge", "second_edge", kind.alias("path_class"), F.row_number().over(w).cast("long").alias("rank"))
+    if witness is None:
+        return out
+    ids = witness.select(edge_id(F.col("edge_type"), F.col("src_community_id"), F.col("dst_community_id")).alias("edge"), "evidence_id").groupBy("edge").agg(F.collect_set("evidence_id").alias("ids"))
+    for step in ("first", "second"):
+        out = out.join(ids.select(F.col("edge").alias(f"{step}_edge"), F.col("ids").alias(f"{step}_ids")), f"{step}_edge", "left")
+    both = F.array_sort(F.array_union(F.coalesce("first_ids", F.array().cast("array<string>")), F.coalesce("second_ids", F.array().cast("array<string>"))))
+    return out.select("left_id", "middle_id", "right_id", "first_edge", "second_edge", "path_class", "rank", both.alias("witness_ids"))
 
 
 def forward_neighborhood(relation: DataFrame, limit: int = 3) -> DataFrame:

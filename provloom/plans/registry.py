@@ -242,7 +242,17 @@ def community_rollup(spark, sf):
 WHERE a.src_community_id <> b.dst_community_id AND NOT EXISTS (SELECT 1 FROM rel x WHERE x.src_community_id = a.src_community_id AND x.dst_community_id = b.dst_community_id)), n AS (SELECT *, row_number() OVER (PARTITION BY left_id, right_id ORDER BY k DESC, middle_id, first_edge, second_edge) AS rank FROM p)
 SELECT left_id, middle_id, right_id, first_edge, second_edge, CASE k WHEN 2 THEN 'causal_path' WHEN 1 THEN 'mixed_path' ELSE 'identity_only_path' END AS path_class, rank FROM n WHERE rank <= 3""")
 def bridge_candidates(spark, sf):
-    return fmg.bridges(fmg.relations(_fmg(spark, sf)[2]))
+    """As its SQL: the first three of each pair of ends. bridge_retrieval has all."""
+    return fmg.bridges(fmg.relations(_fmg(spark, sf)[2])).where("rank <= 3")
+
+
+@query()
+def bridge_retrieval(spark, sf):
+    """Every bridge whose middle overlaps the time of its ends, with the witnesses of both steps."""
+    member, _, witness = _fmg(spark, sf)
+    start = (F.col("logical_day") - 1).cast("long") * DAY_NS + FIRST_DAY_NS
+    communities = member.select("community_id", start.alias("start_ns"), (start + DAY_NS).alias("end_ns")).distinct()
+    return fmg.bridges(fmg.relations(witness), communities, witness=witness)
 
 
 @query(f"{FMG}, n AS (SELECT src_community_id, dst_community_id, fmg_edge_id, row_number() OVER (PARTITION BY src_community_id ORDER BY CASE evidence_semantics WHEN 'causal' THEN 0 ELSE 1 END, first_witness_ns, dst_community_id, fmg_edge_id) AS rank FROM rel) SELECT * FROM n WHERE rank <= 3")
