@@ -22,6 +22,8 @@ TASK_ROWS = 60_000
 #: Pairs of trie nodes that are looked at together, and leaf pairs under which a pair of nodes is compared at once.
 FRONTIER = 8_000
 LEAF_PAIRS = 64
+#: Pairs that are compared at once where fingerprints are equal in all bits.
+GRID_PAIRS = 250_000
 STRIDE = 4
 
 
@@ -97,8 +99,10 @@ def _grid(na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return which, at // nb[which], at % nb[which]
 
 
-def trie_pairs(key: np.ndarray, side: np.ndarray, fp: np.ndarray, budget: int, bits: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of all pairs of fingerprints with one key that differ in at most `budget` bits; rows are sorted by key, side, fp.
+def trie_pairs(key: np.ndarray, side: np.ndarray, fp: np.ndarray, budget: int, bits: int = 64, group_of: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs of fingerprints with one key that differ in at most `budget` bits; rows are sorted by key, side, fp, group_of.
+
+    group_of: pairs inside one group are not wanted, and nodes that hold one group only are not opened.
 
     A key with two sides gives pairs across them only. Pairs of trie nodes are traversed together from the
     roots, four levels a step; a pair that has used up more than the budget is dropped with all below it.
@@ -115,6 +119,7 @@ def trie_pairs(key: np.ndarray, side: np.ndarray, fp: np.ndarray, budget: int, b
 
     if not n:
         return
+    changes = np.concatenate([[0], np.cumsum(group_of[1:] != group_of[:-1])]) if group_of is not None else None
     root = starts(0)
     keys, sides = key[root[:-1]], side[root[:-1]]
     two = np.flatnonzero((keys[1:] == keys[:-1]) & (sides[1:] != sides[:-1]))
@@ -128,12 +133,29 @@ def trie_pairs(key: np.ndarray, side: np.ndarray, fp: np.ndarray, budget: int, b
             half = f.shape[1] // 2
             stack += [(depth, f[:, :half]), (depth, f[:, half:])]
             continue
+        if changes is not None:
+            one = (changes[f[1] - 1] == changes[f[0]]) & (changes[f[3] - 1] == changes[f[2]]) & (group_of[f[0]] == group_of[f[2]])
+            f = f[:, ~one]
+        if depth >= bits:
+            wide = (f[1] - f[0]) * (f[3] - f[2]) > GRID_PAIRS
+            if wide.any():  # equal fingerprints: halves against halves, so no grid is larger than GRID_PAIRS
+                w, f = f[:, wide], f[:, ~wide]
+                am, bm = (w[0] + w[1] + 1) // 2, (w[2] + w[3] + 1) // 2
+                for a, b, c, d in ((w[0], am, w[2], bm), (w[0], am, bm, w[3]), (am, w[1], w[2], bm), (am, w[1], bm, w[3])):
+                    part = np.stack([a, b, c, d, w[4]])
+                    stack.append((depth, part[:, (b > a) & (d > c) & ((w[0] != w[2]) | (a <= c))]))
         few = ((f[1] - f[0]) * (f[3] - f[2]) <= LEAF_PAIRS) | (depth >= bits)
         if few.any():
             g = f[:, few]
+            size = np.cumsum((g[1] - g[0]) * (g[3] - g[2]))
+            if len(size) > 1 and size[-1] > 4 * GRID_PAIRS:  # many nodes together: half of them at a time
+                stack += [(depth, g[:, : len(size) // 2]), (depth, g[:, len(size) // 2 :])]
+                g = g[:, :0]
             which, i, j = _grid(g[1] - g[0], g[3] - g[2])
             x, y = g[0][which] + i, g[2][which] + j
             good = (np.bitwise_count(fp[x] ^ fp[y]) <= budget) & ((g[0][which] != g[2][which]) | (x < y))
+            if changes is not None:
+                good &= group_of[x] != group_of[y]
             if good.any():
                 yield x[good], y[good]
         f = f[:, ~few]
@@ -149,18 +171,21 @@ def trie_pairs(key: np.ndarray, side: np.ndarray, fp: np.ndarray, budget: int, b
         stack.append((depth + STRIDE, np.stack([at[i], at[i + 1], at[j], at[j + 1], used])[:, good]))
 
 
-def near_links(points: DataFrame, bits: int = 64, budget: int = 3, fps: tuple[Column, ...] = (), checks: tuple[str, ...] = (), most_bits: int = 0, thinned: bool = True) -> DataFrame:
+def near_links(points: DataFrame, bits: int = 64, budget: int = 3, fps: tuple[Column, ...] = (), checks: tuple[str, ...] = (), most_bits: int = 0, thinned: bool = True, group: str = "") -> DataFrame:
     """Links (a, b) of ids with a fingerprint (column fp, or any of the columns fps, in its `bits` highest bits)
     in which they differ by at most `budget` bits, thinned to spanning forests inside each task (components are
     those of all links).
 
     checks: more fingerprint columns; linked rows must differ in at most most_bits bits of them altogether.
     thinned=False: all links (some more than once), for callers that test them and so need each.
+    group: a column; links inside a group are left out, and keys that hold one group only are dropped as a whole.
     Of two fingerprints within the budget, one of budget + 1 blocks of bits is the same; so the trie is joined
     once for each block, turned to have that block first, and the nodes under equal blocks are the tasks. A
     node with over NODE_ROWS rows is opened by eight more bits, its pairs of children within the budget becoming
-    tasks in turn, until none is too large: no common block, however hot, meets in one task.
+    tasks in turn, until none is too large. A node that still is at full depth (rows of one fingerprint that only
+    their checks tell apart) is dealt into blocks, each pair of them a task: no common block, however hot, meets in one task.
     """
+    kept = (*checks, group) if group else checks
     blocks = budget + 1
     width = bits // blocks
     high = F.lit(-1 << (64 - bits))
@@ -170,18 +195,25 @@ def near_links(points: DataFrame, bits: int = 64, budget: int = 3, fps: tuple[Co
         return fp.bitwiseAND(high) if r == 0 else F.shiftleft(fp, r * width).bitwiseOR(F.shiftrightunsigned(fp, bits - r * width)).bitwiseAND(high)
 
     turned = [F.struct(F.lit(t * blocks + r).alias("r"), turn(fp, r).alias("fp")) for t, fp in enumerate(fps or (F.col("fp"),)) for r in range(blocks)]
-    rows = points.select("id", *checks, F.inline(F.array(*turned)))
-    rows = rows.select("id", *checks, "fp", F.lit(0).alias("side"), F.concat_ws(":", "r", F.shiftrightunsigned("fp", 64 - width)).alias("key"), F.lit(budget).alias("rest"))
+    rows = points.select("id", *kept, F.inline(F.array(*turned)))
+    rows = rows.select("id", *kept, "fp", F.lit(0).alias("side"), F.concat_ws(":", "r", F.shiftrightunsigned("fp", 64 - width)).alias("key"), F.lit(budget).alias("rest"))
     ready, depth = [], width
+
+    def hot_keys() -> tuple[DataFrame, DataFrame]:
+        """Keys with over NODE_ROWS rows and rows of the others and of those with more than one group."""
+        low, high_ = (F.min(group), F.max(group)) if group else (F.lit(0), F.lit(1))
+        hot = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), low.alias("lo"), high_.alias("hi")).where(F.col("n") > NODE_ROWS))
+        one = hot.where("lo = hi").select("key")
+        return hot.where("lo <> hi").select("key", "n"), rows if one.isEmpty() else rows.join(F.broadcast(one), "key", "left_anti")
+
     while depth < bits:
-        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        hot = stored(counts.where(F.col("n") > NODE_ROWS).select("key"))
+        hot, rows = hot_keys()
         if hot.isEmpty():
             break
         ready.append(rows.join(hot, "key", "left_anti"))
         take = min(8, bits - depth)
         masks = sorted((m for m in range(1 << take) if m.bit_count() <= budget), key=lambda m: (m.bit_count(), m))
-        big = rows.join(hot, "key").withColumn("own", F.shiftrightunsigned("fp", 64 - depth - take).bitwiseAND(F.lit((1 << take) - 1)))
+        big = rows.join(hot.select("key"), "key").withColumn("own", F.shiftrightunsigned("fp", 64 - depth - take).bitwiseAND(F.lit((1 << take) - 1)))
         opened = big.withColumn("mask", F.explode(F.filter(F.array(*map(F.lit, masks)), lambda m: F.bit_count(m) <= F.col("rest")))).withColumn("other", F.col("own").bitwiseXOR(F.col("mask")))
         # within one node the smaller child is side 0; across two nodes each row keeps its side
         crossed = F.col("key").contains("x")
@@ -189,10 +221,25 @@ def near_links(points: DataFrame, bits: int = 64, budget: int = 3, fps: tuple[Co
         right = F.when(crossed, F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))).otherwise(F.greatest("own", "other"))
         side = F.when(crossed, F.col("side")).otherwise((F.col("own") > F.col("other")).cast("int"))
         joint = F.when(crossed | (F.col("mask") != 0), F.lit("x")).otherwise(F.lit("."))
-        opened = opened.select("id", *checks, "fp", side.alias("side"), F.concat("key", F.lit("/"), left, joint, right).alias("key"), (F.col("rest") - F.bit_count("mask")).cast("int").alias("rest"))
+        opened = opened.select("id", *kept, "fp", side.alias("side"), F.concat("key", F.lit("/"), left, joint, right).alias("key"), (F.col("rest") - F.bit_count("mask")).cast("int").alias("rest"))
         whole = opened.groupBy("key").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where((F.col("lo") != F.col("hi")) | ~F.col("key").contains("x"))
         rows = stored(opened.join(whole.select("key"), "key", "left_semi"))
         depth += take
+    if depth >= bits:
+        hot, rows = hot_keys()
+        if not hot.isEmpty():
+            ready.append(rows.join(hot, "key", "left_anti"))
+            # of m blocks, a row of block i is side 0 of its pairs with those after i, side 1 of those before
+            big = rows.join(F.broadcast(hot), "key").withColumn("m", F.ceil(F.col("n") * 2 / NODE_ROWS).cast("int"))
+            crossed = F.col("key").contains("x")
+            mine = F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("m")).cast("int")
+            dealt = big.withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+            # across two nodes: blocks of side 0 by blocks of side 1, each row keeping its side
+            a = F.when(crossed, F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j"))).otherwise(F.least("i", "j"))
+            b = F.when(crossed, F.when(F.col("side") == 0, F.col("j")).otherwise(F.col("i"))).otherwise(F.greatest("i", "j"))
+            at = F.when(crossed, F.col("side")).otherwise((F.col("i") > F.col("j")).cast("int"))
+            joint = F.when(crossed | (a != b), F.lit("x")).otherwise(F.lit("."))
+            rows = dealt.select("id", *kept, "fp", at.alias("side"), F.concat("key", F.lit("|"), a, joint, b).alias("key"), "rest")
     for r in ready:
         rows = rows.unionByName(r)
 
@@ -203,12 +250,14 @@ def near_links(points: DataFrame, bits: int = 64, budget: int = 3, fps: tuple[Co
         t = pa.Table.from_batches(parts)
         key, side, fp, ids = (t.column(c).to_numpy() for c in ("k", "side", "fp", "id"))
         fp = fp.view(np.uint64)
-        order = np.lexsort((fp, side, key))
+        of = t.column(group).to_numpy() if group else np.zeros(len(fp), np.int64)
+        order = np.lexsort((of, fp, side, key))
+        of = of[order]
         key, side, fp, ids = key[order], side[order], fp[order], ids[order]
         more = [t.column(c).to_numpy().view(np.uint64)[order] for c in checks]
         found: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
-        for x, y in trie_pairs(key, side, fp, budget, bits):
+        for x, y in trie_pairs(key, side, fp, budget, bits, of if group else None):
             if more:
                 good = sum(np.bitwise_count(m[x] ^ m[y]).astype(np.int64) for m in more) <= most_bits
                 x, y = x[good], y[good]
@@ -226,7 +275,7 @@ def near_links(points: DataFrame, bits: int = 64, budget: int = 3, fps: tuple[Co
             a, b = forest(a, b) if thinned else (a, b)
             yield batch(a=(a, pa.int64()), b=(b, pa.int64()))
 
-    rows = rows.select("id", *checks, "fp", F.col("side").cast("int").alias("side"), F.xxhash64("key").alias("k"))
+    rows = rows.select("id", *kept, "fp", F.col("side").cast("int").alias("side"), F.xxhash64("key").alias("k"))
     tasks = max(16, -(-points.count() * len(turned) // TASK_ROWS))
     return arrow_map(rows.repartition(tasks, "k"), run, "a long, b long")
 
@@ -283,15 +332,23 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A single fingerprint with three errors finds only texts that are almost equal. So each set gets 320 bits,
     cut into ten fingerprints of 32; ten trie self-joins with three errors each propose pairs (a pair at 0.8 is
-    in one of them with over 0.95), all 320 bits drop those that are far apart, and the sets themselves decide.
+    in one of them with over 0.95; pairs already joined through others are left out), all 320 bits drop those that are far apart, and the sets themselves decide.
     Equal sets are one class. Texts without words are similar to each other only. Nulls and ties as in simhash_groups.
     """
     names = [f"f{w}" for w in range(SIMILAR_WORDS)]
     rows = stored(fingerprints(docs, SIMILAR_SHINGLE, SIMILAR_WORDS, id_col, text_col, sets=True))
     classes = stored(rows.groupBy("id", "n", *names).agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("low")))
     fps = tuple(fp for n in names for fp in (F.col(n), F.shiftleft(F.col(n), 32)))
-    pairs = stored(near_links(classes, 32, 3, fps, tuple(names), SIMILAR_BITS, thinned=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    roots = components(similar(docs, classes, pairs, id_col, text_col))
+    # stars: each class with the smallest one that shares a fingerprint, so that large groups of near copies are one before pairs are sought
+    pieces = classes.select("id", *names, F.posexplode(F.array(*(F.shiftrightunsigned(fp, 32) for fp in fps))).alias("p", "v"))
+    hubs = pieces.groupBy("p", "v").agg(F.min(F.struct(F.col("id").alias("a"), *(F.col(n).alias(f"h{n}") for n in names))).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("p", "v", "hub.*")
+    far = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"h{n}"))) for n in names), F.lit(0))
+    stars = stored(pieces.join(hubs, ["p", "v"]).where((F.col("id") != F.col("a")) & (far <= SIMILAR_BITS)).select("a", F.col("id").alias("b")).distinct())
+    starred = stored(similar(docs, classes, stars, id_col, text_col))
+    grouped = stored(classes.join(components(starred), "id", "left").withColumn("star", F.coalesce("root", "id")).drop("root"))
+    links = near_links(grouped, 32, 3, fps, tuple(names), SIMILAR_BITS, thinned=False, group="star")
+    pairs = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    roots = components(similar(docs, classes, pairs, id_col, text_col).union(starred))
     named = stored(classes.join(roots, "id", "left").select("id", "low", F.coalesce("root", "id").alias("root")))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_class = named.join(lowest, "root").select("id", "component_id")
