@@ -12,12 +12,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch, id_and_text, rows_of
+from .common import arrow_map, batch, id_and_text, rows_of, utf8
 
-#: Training is on a bounded sample: rows of each class for the dictionaries, rows for the calibration, bytes of one training text.
+#: Training is on whole texts of a bounded sample: rows of each class for the dictionaries, rows for the calibration.
 DICTIONARY_ROWS = 1200
 CALIBRATION_ROWS = 4000
-TRAINING_BYTES = 100_000
 #: Bytes of the dictionaries, of a window, and of the grams that toxic segments are made of.
 ORDINARY_BYTES = 16_000
 TOXIC_BYTES = 1500
@@ -115,30 +114,42 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(texts)), x] @ self.weights, -30, 30)))
 
 
-def train(dictionary: list[tuple[bytes, int]], calibration: list[tuple[bytes, int]]) -> Model:
-    """Dictionaries from one sample, thresholds on windows' gains (a logistic regression) from another."""
-    toxic, ordinary = ([t.lower() for t, y in dictionary if y == k] for k in (1, 0))
-    labels = np.array([y for _, y in calibration], float)
-    rate = np.clip((labels.sum() + 0.5) / (len(labels) + 1), 1e-6, 1 - 1e-6)
-    constant = np.array([np.log(rate / (1 - rate))])
-    if not toxic or not ordinary or not 0 < labels.sum() < len(labels):
-        return Model(b"", b"", constant)
+def dictionaries(sample: list[tuple[bytes, int]]) -> Model | None:
+    """A model without weights, from whole texts; None without texts of both classes."""
+    toxic, ordinary = ([t.lower() for t, y in sample if y == k] for k in (1, 0))
+    if not toxic or not ordinary:
+        return None
     parts = [p for t in ordinary for p in windows(t, 400)]
     try:
         base = zstandard.train_dictionary(ORDINARY_BYTES, parts).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
         base = b"".join(parts)[-ORDINARY_BYTES:]
-    model = Model(base, toxic_segments(toxic, ordinary))
-    x = model.features([t for t, _ in calibration])
+    return Model(base, toxic_segments(toxic, ordinary))
+
+
+def calibrate(model: Model | None, x: np.ndarray, labels: np.ndarray) -> Model:
+    """The model with thresholds on windows' gains (a logistic regression on features x). Newton steps are halved while they make the fit worse."""
+    rate = np.clip((labels.sum() + 0.5) / (len(labels) + 1), 1e-6, 1 - 1e-6)
+    constant = np.array([np.log(rate / (1 - rate))])
+    if model is None or not 0 < labels.sum() < len(labels):
+        return Model(b"", b"", constant)
     model.mean, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.c_[np.ones(len(x)), (x - model.mean) / model.spread]
     ridge = np.eye(z.shape[1])
     ridge[0, 0] = 1e-9
     w = np.zeros(z.shape[1])
     w[0] = constant[0]
-    for _ in range(40):
+
+    def loss(w: np.ndarray) -> float:
+        m = z @ w
+        return float((np.logaddexp(0, m) - labels * m).sum() + w @ ridge @ w / 2)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (p - labels) + ridge @ w)
+        now = loss(w)
+        while loss(w - step) > now and np.abs(step).max() > 1e-6:
+            step = step / 2
         w = w - step
         if np.abs(step).max() < 1e-6:
             break
@@ -153,15 +164,26 @@ def held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 41) -> Model:
     """A model from the labelled rows outside the held-out fold. The sample is the rows whose hash comes first, so it
     is the same on every run; ids are dealt to dictionary or calibration by the hash too. At most
-    2 * DICTIONARY_ROWS + CALIBRATION_ROWS ids are broadcast and as many texts, cut to TRAINING_BYTES, are fetched."""
+    2 * DICTIONARY_ROWS + CALIBRATION_ROWS ids are broadcast. The whole texts for the dictionaries are fetched; of
+    those for the calibration only the features are, made where the texts are."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("pool", F.pmod(F.shiftright("h", 7), F.lit(2)))
     picked = [known.where((F.col("pool") == 0) & (F.col("toxic") == k)).orderBy("h").limit(DICTIONARY_ROWS) for k in (0, 1)] + [known.where("pool = 1").orderBy("h").limit(CALIBRATION_ROWS)]
-    ids = picked[0].union(picked[1]).union(picked[2]).select("doc_id", "toxic", "pool")
-    ids = docs.sparkSession.createDataFrame(ids.collect(), "doc_id long, toxic int, pool long")
-    text = id_and_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "pool", "toxic", F.substring(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 1, TRAINING_BYTES).alias("text"))
-    rows = sorted((r["doc_id"], r["pool"], r["toxic"], bytes(r["text"])) for r in text.collect())
-    return train([(t, y) for _, p, y, t in rows if p == 0], [(t, y) for _, p, y, t in rows if p == 1])
+    ids = picked[0].union(picked[1]).union(picked[2]).select("doc_id", "toxic", "pool").collect()
+    ids = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int, pool long")
+
+    def texts(pool: int) -> DataFrame:
+        return id_and_text(docs).join(F.broadcast(ids.where(F.col("pool") == pool)), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+
+    model = dictionaries([(t, y) for _, y, t in sorted((r["doc_id"], r["toxic"], r["text"].encode()) for r in texts(0).collect())])
+
+    def run(batches):
+        for b in batches:
+            x = model.features(utf8(b.column("text"))) if model else np.zeros((b.num_rows, 0))
+            yield batch(doc_id=(b.column("doc_id"), pa.int64()), toxic=(b.column("toxic"), pa.int32()), x=(list(x), pa.list_(pa.float64())))
+
+    rows = sorted((r["doc_id"], r["toxic"], r["x"]) for r in arrow_map(texts(1), run, "doc_id long, toxic int, x array<double>").collect())
+    return calibrate(model, np.array([x for _, _, x in rows]), np.array([y for _, y, _ in rows], float))
 
 
 def apply(docs: DataFrame, model: Model) -> DataFrame:
