@@ -342,9 +342,10 @@ def graph_jaccard(spark, sf):
 
 @query()
 def calibrated_residuals(spark, sf):
+    """All rows, held against a fit on the rows of even orders."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").alias("entity_type_id"), F.array(*(F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))).alias("residual"))
     old = F.col("l_orderkey") % 2 == 0
-    return residual.calibrated(li.where(old), li.where(~old), residual.shrinkage_models(li.where(old), n_min=128, pooled=True)).select("l_orderkey", "l_linenumber", F.round("score", 6).alias("score"), "q")
+    return residual.calibrated(li.where(old), li, residual.shrinkage_models(li.where(old), n_min=128, pooled=True)).select("l_orderkey", "l_linenumber", F.round("score", 6).alias("score"), "q")
 
 
 @query("""WITH s AS (SELECT o_orderkey AS state_id, CASE o_orderkey % 4 WHEN 0 THEN 'supported' WHEN 1 THEN 'probable' WHEN 2 THEN 'absent' ELSE 'conflicted' END AS st, o_custkey % 6 AS r, o_custkey % 2 = 0 AS l, o_custkey % 3 = 0 AS g, o_custkey % 5 = 0 AS h FROM orders),
