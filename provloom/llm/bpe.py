@@ -316,7 +316,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     def run(batches):
         codec = codec_of(ranks_path, pattern)
         for group in by_bytes(rows_of(batches), lambda r: len(r[1]) + 64, BATCH_BYTES):
-            out = list(codec.coded([t.decode() for _, t in group]))
+            out = list(codec.coded([t.decode(errors="replace") for _, t in group]))
             yield batch(doc_id=([i for i, _ in group], pa.int64()), n_tokens=([n for n, _, _ in out], pa.int64()), ids_sha256=([hashlib.sha256(x).hexdigest() for _, x, _ in out], pa.string()), decoded_sha256=([hashlib.sha256(x).hexdigest() for _, _, x in out], pa.string()))
 
     return arrow_map(id_and_text(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

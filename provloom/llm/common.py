@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only where the session has none (tests) one of our own is set."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session that has none (tests) gets one of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         where = tempfile.mkdtemp(prefix="provloom-")
@@ -68,20 +72,21 @@ def _delete(spark: SparkSession, to: str) -> None:
         return
 
 
-#: Rows of one Arrow batch. Spark's default of 10,000 documents can be far over a worker's share of memory.
-ARROW_ROWS = 1000
+#: Bytes of one Arrow batch. Spark's default of 64 MB, in the JVM and in Python at once, is far over a worker's share of memory.
+ARROW_BYTES = 4_000_000
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in batches of at most ARROW_ROWS rows (sets the session's batch size where it is larger)."""
-    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(key, "10000")) <= ARROW_ROWS:
-        conf.set(key, str(ARROW_ROWS))
+    """mapInArrow in batches of about ARROW_BYTES or one row (lowers the session's limit where it is larger: it is read when a plan runs)."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = conf.get(key, None)
+    if now is None or not now.rstrip("b").isdigit() or int(now.rstrip("b")) > ARROW_BYTES:
+        conf.set(key, str(ARROW_BYTES))
     return df.mapInArrow(fn, schema)
 
 
 def utf8(column: pa.Array) -> list[bytes]:
-    """Texts as UTF-8 bytes, null as empty."""
+    """Texts as UTF-8 bytes, null as empty. Operators that need characters read bytes that are no UTF-8 as U+FFFD."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
@@ -114,11 +119,43 @@ def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, byt
         yield from zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), strict=True)
 
 
-#: Ids (8 bytes each) up to which a list of ids is broadcast; longer ones are joined by a shuffle.
+#: Rows of row keys (two longs each) up to which a table of them is broadcast; longer ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: The columns of a row key: which file, and which row of it.
+ROW = ("row_file", "row_at")
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is not in ids (one column, doc_id); rows with a null doc_id stay."""
-    ids = stored(ids.where("doc_id is not null").distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text and the key (row_file, row_at) of every row: two rows never share it, whatever their columns hold.
+
+    Rows of Parquet files are named by their file and place in it, which no retry changes. Other tables have no such
+    place: they must be stored() first, as pipeline stages are.
+    """
+    meta = F.col("_metadata")
+    where = [F.xxhash64(meta["file_path"]).alias(ROW[0]), meta["row_index"].alias(ROW[1])]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *where)
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """docs if its rows have places that numbered() can name, else docs stored."""
+    log = logging.getLogger("DataFrameQueryContextLogger")
+    was, log.disabled = log.disabled, True  # that a table has no places is no error
+    try:
+        numbered(docs, docs.columns[0], docs.columns[0])
+    except AnalysisException:
+        return stored(docs)
+    finally:
+        log.disabled = was
+    return docs
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of placed docs whose key is not in rows (row_file, row_at)."""
+    rows = stored(rows.select(*ROW))
+    if rows.isEmpty():
+        return docs
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column of docs clashes with the key's
+    meta = F.col("_metadata")
+    keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), F.xxhash64(meta["file_path"]).alias(ROW[0]), meta["row_index"].alias(ROW[1]))
+    left = keyed.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, list(ROW), "left_anti")
+    return left.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch, id_and_text, rows_of, stored
+from .common import ROW, arrow_map, batch, numbered, placed, rows_of, stored, without
 
 #: Keys of one filter (about), rows of digests in one Arrow batch, and the most ids that may be broadcast (8 bytes each).
 FILTER_KEYS = 200_000
@@ -89,17 +89,18 @@ class FuseFilter:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_sha256, key (its first 64 bits), n_bytes of each text, A-Z lower-cased (in UTF-8 no other byte is one of A-Z)."""
+    """doc_id, row key, text_sha256, key (its first 64 bits), n_bytes of each text of placed docs, A-Z lower-cased (in UTF-8 no other byte is one of A-Z)."""
 
     def run(batches):
-        for b in batches:
-            rows = list(rows_of([b]))
-            for i in range(0, len(rows), DIGEST_ROWS):
-                part = rows[i : i + DIGEST_ROWS]
-                d = [hashlib.sha256(t.lower()) for _, t in part]
-                yield batch(doc_id=([i for i, _ in part], pa.int64()), text_sha256=([x.hexdigest() for x in d], pa.string()), key=([int.from_bytes(x.digest()[:8], "big", signed=True) for x in d], pa.int64()), n_bytes=([len(t) for _, t in part], pa.int64()))
+        for whole in batches:
+            for i in range(0, whole.num_rows, DIGEST_ROWS):
+                b = whole.slice(i, DIGEST_ROWS)
+                texts = [t for _, t in rows_of([b])]
+                d = [hashlib.sha256(t.lower()) for t in texts]
+                place = {c: (b.column(c), pa.int64()) for c in ("doc_id", *ROW)}
+                yield batch(**place, text_sha256=([x.hexdigest() for x in d], pa.string()), key=([int.from_bytes(x.digest()[:8], "big", signed=True) for x in d], pa.int64()), n_bytes=([len(t) for t in texts], pa.int64()))
 
-    return arrow_map(id_and_text(docs, id_col, text_col), run, "doc_id long, text_sha256 string, key long, n_bytes long")
+    return arrow_map(numbered(docs, id_col, text_col), run, "doc_id long, row_file long, row_at long, text_sha256 string, key long, n_bytes long")
 
 
 def build_filters(snapshot: DataFrame, shards: int) -> DataFrame:
@@ -129,42 +130,61 @@ def screen(incoming: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
 
 
 def same_bytes(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of pairs (new_id, old_id) those whose lower-cased texts are equal byte by byte. One pair a group of copies, so few texts move."""
-    texts = id_and_text(docs, id_col, text_col)
-    ids = pairs.select(F.explode(F.array("new_id", "old_id")).alias("doc_id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    """Of pairs (a, b: structs with a row key) those whose lower-cased texts are equal byte by byte. One pair a group of copies, so few texts move."""
+    texts = numbered(docs, id_col, text_col)
+    rows = pairs.select(F.explode(F.array(*(F.struct(*(F.col(f"{x}.{c}").alias(c) for c in ROW)) for x in "ab"))).alias("r")).select("r.*").distinct()
+    if rows.count() <= BROADCAST_IDS:
+        rows = F.broadcast(rows)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    wanted = texts.join(ids, "doc_id", "left_semi").select("doc_id", F.translate(F.coalesce("text", F.lit("")), letters, letters.lower()).alias("t"))
-    both = pairs.join(wanted.select(F.col("doc_id").alias("new_id"), F.col("t").alias("a")), "new_id").join(wanted.select(F.col("doc_id").alias("old_id"), F.col("t").alias("b")), "old_id")
-    return both.where(F.col("a") == F.col("b")).select("new_id", "old_id").distinct()
+    wanted = texts.join(rows, list(ROW), "left_semi").select(*ROW, F.translate(F.coalesce("text", F.lit("")), letters, letters.lower()).alias("t"))
 
+    def side(x: str) -> DataFrame:
+        return wanted.select(*(F.col(c).alias(f"{x}_{c}") for c in ROW), F.col("t").alias(f"{x}_t"))
 
-def exact_groups(docs: DataFrame, is_new=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+    out = pairs.select("*", *(F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ROW))
+    for x in "ab":
+        out = out.join(side(x), [f"{x}_{c}" for c in ROW])
+    return out.where(F.col("a_t") == F.col("b_t")).select(pairs.columns)
 
-    is_new: a condition on doc_id that tells the incoming batch from the snapshot (default: odd ids).
-    The snapshot's digests become static filters, one for each shard of digests. The batch's digests are
-    grouped by themselves first (copies inside it never reach the filter), then screened; positives join the
-    snapshot's exact buckets, where one text of each side is compared byte by byte. Grouping is a partial
-    aggregation, so a text that a third of all rows share is one row a task.
-    Of equal texts the largest doc_id stays; a null doc_id is smaller than all others (a group of nulls alone
-    keeps null ids, all marked kept = false but for group_size 1). Repeated rows with one doc_id count each and
-    are kept alike. Null text: empty.
-    """
+
+def exact_rows(docs: DataFrame, is_new=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """exact_groups() of placed docs with each row's key, and `chosen`: whether it is the one row of its group that a deduplicated table holds."""
     is_new = F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(2)) == 1 if is_new is None else is_new
     rows = stored(digests(docs, id_col, text_col).withColumn("new", is_new))
-    groups = stored(rows.groupBy("new", "text_sha256", "key", "n_bytes").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")))
+    top = F.max(F.struct("doc_id", *ROW)).alias("top")  # null is the smallest
+    groups = stored(rows.groupBy("new", "text_sha256", "key", "n_bytes").agg(top, F.count(F.lit(1)).alias("n")))
     old, new = groups.where(~F.col("new")), groups.where("new")
-    shards = max(16, -(-old.count() // FILTER_KEYS))
-    hits = screen(new.select("text_sha256", "key", "n_bytes", "top"), build_filters(old, shards), shards).where("hit")
-    pairs = hits.join(old.select("text_sha256", "n_bytes", F.col("top").alias("old_id")), ["text_sha256", "n_bytes"]).select(F.col("top").alias("new_id"), "old_id", "text_sha256")
-    pairs = stored(pairs)
-    equal = same_bytes(docs, pairs.where("new_id is not null and old_id is not null"), id_col, text_col)
-    both = pairs.join(equal, ["new_id", "old_id"], "left_semi").select("text_sha256", F.lit(True).alias("both"))
+    shards = max(16, -(-max(old.count(), new.count()) // FILTER_KEYS))
+    hits = screen(new.select("text_sha256", "key"), build_filters(old, shards), shards).where("hit").select("text_sha256")
+    pairs = new.join(hits, "text_sha256").select("text_sha256", "n_bytes", F.col("top").alias("a")).join(old.select("text_sha256", "n_bytes", F.col("top").alias("b")), ["text_sha256", "n_bytes"])
+    both = same_bytes(docs, stored(pairs.select("text_sha256", "a", "b")), id_col, text_col).select("text_sha256", F.lit(True).alias("both"))
     # a group on one side only, or two that did not prove equal, stays by itself
     marked = groups.join(both, "text_sha256", "left").withColumn("side", F.when(F.coalesce("both", F.lit(False)), F.lit(2)).otherwise(F.col("new").cast("int")))
-    final = marked.groupBy("text_sha256", "side").agg(F.max("top").alias("keep_id"), F.sum("n").alias("group_size"))
+    final = marked.groupBy("text_sha256", "side").agg(F.max("top").alias("keep"), F.sum("n").alias("group_size"))
     sides = marked.select("text_sha256", "new", "side").join(final, ["text_sha256", "side"]).drop("side")
     out = rows.join(sides, ["text_sha256", "new"])
-    return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("group_size") == 1).alias("kept"), "text_sha256")
+    keep_id, chosen = F.col("keep.doc_id"), F.lit(True)
+    for c in ROW:
+        chosen = chosen & (F.col(c) == F.col(f"keep.{c}"))
+    return out.select("doc_id", keep_id.alias("keep_id"), "group_size", F.coalesce(F.col("doc_id") == keep_id, F.col("group_size") == 1).alias("kept"), "text_sha256", *ROW, chosen.alias("chosen"))
+
+
+def exact_groups(docs: DataFrame, is_new=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+
+    is_new: a condition on doc_id that tells the incoming batch from the snapshot (default: odd ids).
+    The snapshot's digests become static filters, one for each shard of digests; shards are sized by the larger side. The
+    batch's digests are grouped by themselves first (copies inside it never reach the filter), then screened; positives join
+    the snapshot's exact buckets, where one row of each side, named by its row key, is compared byte by byte. Grouping is a
+    partial aggregation, so a text that a third of all rows share is one row a task.
+    Of equal texts the largest doc_id stays; a null doc_id is smaller than all others (a group of nulls alone
+    keeps null ids, all marked kept = false but for group_size 1). Repeated rows with one doc_id count each and
+    are kept alike. Null text: empty. An empty table gives no rows. A table that is not read from files is stored first.
+    """
+    return exact_rows(placed(docs), is_new, id_col, text_col).drop(*ROW, "chosen")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one row of each group of equal texts: one with the largest doc_id (nulls are the smallest), whatever ids repeat."""
+    docs = placed(docs)
+    return without(docs, exact_rows(docs, None, id_col, text_col).where(~F.col("chosen")))

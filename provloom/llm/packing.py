@@ -139,7 +139,7 @@ def pack(docs: DataFrame, path: str, ranks_path: str, pattern: str, tiers: tuple
             steps += int(p["step"].max()) + 1
 
         for group in by_bytes(rows_of(batches), lambda r: len(r[1]) + 64, BATCH_BYTES):
-            for (i, _), ids in zip(group, encode([t.decode() for _, t in group]), strict=True):
+            for (i, _), ids in zip(group, encode([t.decode(errors="replace") for _, t in group]), strict=True):
                 block.append((i, ids + end))
                 held += len(block[-1][1]) // 4
                 if held >= BLOCK_TOKENS:

@@ -73,9 +73,18 @@ def window_hashes(words: np.ndarray, counts: np.ndarray, bits: int, k: int) -> t
     return gram_hashes(words, k)[at] >> np.uint64(64 - bits), at
 
 
-def _result(rows: pa.Table, n_words: list[int], n_removed: list[int], kept: list[bytes] | None, digests: list[str] | None) -> pa.Table:
-    out = rows.drop_columns(["text"]).append_column("n_words", pa.array(n_words, pa.int64())).append_column("n_removed", pa.array(n_removed, pa.int64()))
-    return out.append_column("kept_sha256", pa.array(digests, pa.string())) if kept is None else out.append_column("text", pa.array([k.decode() for k in kept], pa.string()))
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, or the first of name_1, name_2, ... that docs has no column of (in any case)."""
+    taken, n, out = {c.lower() for c in docs.columns}, 0, name
+    while out in taken:
+        n += 1
+        out = f"{name}_{n}"
+    return out
+
+
+def _result(rows: pa.Table, names: tuple[str, str], n_words: list[int], n_removed: list[int], kept: list[bytes] | None, digests: list[str] | None) -> pa.Table:
+    out = rows.drop_columns(["text"]).append_column(names[0], pa.array(n_words, pa.int64())).append_column(names[1], pa.array(n_removed, pa.int64()))
+    return out.append_column("kept_sha256", pa.array(digests, pa.string())) if kept is None else out.append_column("text", pa.array([k.decode(errors="replace") for k in kept], pa.string()))
 
 
 def remove_repeats(docs: DataFrame, k: int = WINDOW, texts: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,7 +92,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, texts: bool = False, id_col
 
     One row per row of docs: doc_id, n_words, n_removed and kept_sha256 (of the kept words, joined by one
     space); with texts=True all columns of docs, with the text that stays (unchanged where nothing goes),
-    n_words and n_removed.
+    n_words and n_removed (under the names of free_name where docs has such columns).
 
     Windows are edges between their first and last k - 1 words. (1) Blocks of documents ask the ranges of the
     window hash which of their edges are repeated. (2) Runs of repeated edges are paths; a node where some run
@@ -100,7 +109,8 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, texts: bool = False, id_col
     """
     source = docs.withColumns({id_col: F.col(id_col).cast("long"), text_col: F.col(text_col).cast("string")}).withColumnsRenamed({id_col: "doc_id", text_col: "text"}) if texts else id_and_text(docs, id_col, text_col)
     names = [c for c in source.columns if c != "text"]
-    made = "n_words long, n_removed long, " + ("text string" if texts else "kept_sha256 string")
+    counted = (free_name(source, "n_words"), free_name(source, "n_removed"))
+    made = f"{counted[0]} long, {counted[1]} long, " + ("text string" if texts else "kept_sha256 string")
     kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in names) + ", " + made
     stored_blocks = B.block_table(source)
     total = stored_blocks.agg(F.sum("n_bytes")).first()[0] or 0
@@ -164,7 +174,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, texts: bool = False, id_col
                 left = b" ".join(w if go is None else [x for x, g in zip(w, go.tolist(), strict=True) if not g])
                 (kept if texts else digests).append(left if texts else hashlib.sha256(left).hexdigest())
             removed.append(0 if go is None else int(go.sum()))
-        return _result(t, doc_words, removed, kept if texts else None, None if texts else digests)
+        return _result(t, counted, doc_words, removed, kept if texts else None, None if texts else digests)
 
     def ask_nodes(block: int, payload: bytes, got: dict[int, bytes]) -> pa.Table:
         t = B.load(payload)

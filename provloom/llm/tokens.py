@@ -124,7 +124,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     def run(batches):
         memo = counter(path)
         for group in by_bytes(rows_of(batches), lambda r: len(r[1]) + 64, BATCH_BYTES):
-            n = [sum(v) for v in memo.of([t.decode() for _, t in group])]
+            n = [sum(v) for v in memo.of([t.decode(errors="replace") for _, t in group])]
             yield batch(doc_id=([i for i, _ in group], pa.int64()), n_bytes=([len(t) for _, t in group], pa.int64()), n_tokens=(n, pa.int64()))
 
     out = arrow_map(id_and_text(docs, id_col, text_col), run, "doc_id long, n_bytes long, n_tokens long")
