@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, NO_ID, arrow_map, batch, by_bytes, id_and_text, rows_of, stored
+from .common import BROADCAST_IDS, NO_ID, ROW, arrow_map, batch, by_bytes, id_and_text, numbered, placed, rows_of, stored, utf8, without
 from .exact_dedup import mix
 from .graph import components, forest
 
@@ -74,21 +74,27 @@ def set_id(shingles: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, k: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
     """doc_id and `words` fingerprints of 64 bits (f0, f1, ...) of each text; f0 is over XXH64 itself, others over hashes derived from it.
 
-    sets: each shingle counts once however often the text repeats it; with n (their number) and id (set_id).
+    sets: each shingle counts once however often the text repeats it; with n (their number), id (set_id) and, docs being placed, the row key.
     """
+    place = ("doc_id", *ROW) if sets else ("doc_id",)
+
+    def rows(batches):
+        for b in batches:
+            yield from zip(utf8(b.column("text")), *(b.column(c).to_pylist() for c in place), strict=True)
 
     def run(batches):
-        for group in by_bytes(rows_of(batches), lambda r: len(r[1]) + 64, BATCH_BYTES):
-            each = [shingle_set(t, k) if sets else shingle_hashes(t, k) for _, t in group]
+        for group in by_bytes(rows(batches), lambda r: len(r[0]) + 64, BATCH_BYTES):
+            each = [shingle_set(r[0], k) if sets else shingle_hashes(r[0], k) for r in group]
             sizes = np.fromiter(map(len, each), np.int64, len(each))
             h = np.fromiter(chain.from_iterable(each), np.uint64, int(sizes.sum()))
             cols = {f"f{w}": (majority(mix(h + np.uint64(0x9E3779B97F4A7C15 * w & (2**64 - 1))) if w else h, sizes).view(np.int64), pa.int64()) for w in range(words)}
             if sets:
                 cols |= {"n": (sizes, pa.int64()), "id": ([set_id(x) for x in each], pa.int64())}
-            yield batch(doc_id=([i for i, _ in group], pa.int64()), **cols)
+            yield batch(**{c: ([r[i] for r in group], pa.int64()) for i, c in enumerate(place, 1)}, **cols)
 
-    names = [f"f{w}" for w in range(words)] + (["n", "id"] if sets else [])
-    return arrow_map(id_and_text(docs, id_col, text_col), run, "doc_id long, " + ", ".join(f"{x} long" for x in names))
+    names = [*place, *(f"f{w}" for w in range(words)), *(["n", "id"] if sets else [])]
+    source = numbered(docs, id_col, text_col) if sets else id_and_text(docs, id_col, text_col)
+    return arrow_map(source, run, ", ".join(f"{x} long" for x in names))
 
 
 def _grid(na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +177,21 @@ def trie_pairs(key: np.ndarray, side: np.ndarray, fp: np.ndarray, budget: int, b
         stack.append((depth + STRIDE, np.stack([at[i], at[i + 1], at[j], at[j + 1], used])[:, good]))
 
 
-def near_links(points: DataFrame, bits: int = 64, budget: int = 3, fps: tuple[Column, ...] = (), checks: tuple[str, ...] = (), most_bits: int = 0, thinned: bool = True, group: str = "") -> DataFrame:
+def _nearest(x: np.ndarray, y: np.ndarray, apart: np.ndarray, most: int, ids: np.ndarray, lost: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of links x-y those that are among the `most` with the fewest bits apart of one of their ends. lost holds a spanning forest (of ids) of the others."""
+    ends, link = np.concatenate([x, y]), np.tile(np.arange(len(x)), 2)
+    order = np.lexsort((link, apart[link], ends))
+    first = np.flatnonzero(np.concatenate([[True], ends[order][1:] != ends[order][:-1]])) if len(ends) else np.zeros(0, np.int64)
+    rank = np.arange(len(ends)) - np.repeat(first, np.diff(np.append(first, len(ends))))
+    kept = np.zeros(len(x), bool)
+    kept[link[order[rank < most]]] = True
+    if not kept.all():
+        a, b = ids[x[~kept]], ids[y[~kept]]
+        lost[:] = [forest(*map(np.concatenate, zip(*lost, (a, b), strict=True)))]
+    return x[kept], y[kept], apart[kept]
+
+
+def near_links(points: DataFrame, bits: int = 64, budget: int = 3, fps: tuple[Column, ...] = (), checks: tuple[str, ...] = (), most_bits: int = 0, thinned: bool = True, group: str = "", nearest: int = 0) -> DataFrame:
     """Links (a, b) of ids with a fingerprint (column fp, or any of the columns fps, in its `bits` highest bits)
     in which they differ by at most `budget` bits, thinned to spanning forests inside each task (components are
     those of all links).
@@ -179,6 +199,8 @@ def near_links(points: DataFrame, bits: int = 64, budget: int = 3, fps: tuple[Co
     checks: more fingerprint columns; linked rows must differ in at most most_bits bits of them altogether.
     thinned=False: all links (some more than once), for callers that test them and so need each.
     group: a column; links inside a group are left out, and keys that hold one group only are dropped as a whole.
+    nearest: (with checks, not thinned) of a row's links in a task only so many, those with the fewest differing bits, and
+    those that are among the nearest of their other row. Of all other links a spanning forest is returned, marked `lost`.
     Of two fingerprints within the budget, one of budget + 1 blocks of bits is the same; so the trie is joined
     once for each block, turned to have that block first, and the nodes under equal blocks are the tasks. A
     node with over NODE_ROWS rows is opened by eight more bits, its pairs of children within the budget becoming
@@ -255,12 +277,21 @@ def near_links(points: DataFrame, bits: int = 64, budget: int = 3, fps: tuple[Co
         of = of[order]
         key, side, fp, ids = key[order], side[order], fp[order], ids[order]
         more = [t.column(c).to_numpy().view(np.uint64)[order] for c in checks]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
         held = 0
+        lost: list[tuple[np.ndarray, np.ndarray]] = []
         for x, y in trie_pairs(key, side, fp, budget, bits, of if group else None):
             if more:
-                good = sum(np.bitwise_count(m[x] ^ m[y]).astype(np.int64) for m in more) <= most_bits
-                x, y = x[good], y[good]
+                apart = sum(np.bitwise_count(m[x] ^ m[y]).astype(np.int64) for m in more)
+                good = apart <= most_bits
+                x, y, apart = x[good], y[good], apart[good]
+            if nearest:
+                found.append((x, y, apart))
+                held += len(x)
+                if held > 500_000:
+                    found = [_nearest(*map(np.concatenate, zip(*found, strict=True)), nearest, ids, lost)]
+                    held = len(found[0][0])
+                continue
             found.append((ids[x], ids[y]))
             held += len(x)
             if held > 500_000 and not thinned:
@@ -270,14 +301,20 @@ def near_links(points: DataFrame, bits: int = 64, budget: int = 3, fps: tuple[Co
             elif held > 500_000:
                 found = [forest(*map(np.concatenate, zip(*found, strict=True)))]
                 held = len(found[0][0])
-        if found:
+        if nearest:
+            if found:
+                x, y, _ = _nearest(*map(np.concatenate, zip(*found, strict=True)), nearest, ids, lost)
+                yield batch(a=(ids[x], pa.int64()), b=(ids[y], pa.int64()), lost=(np.zeros(len(x), bool), pa.bool_()))
+            for a, b in lost:
+                yield batch(a=(a, pa.int64()), b=(b, pa.int64()), lost=(np.ones(len(a), bool), pa.bool_()))
+        elif found:
             a, b = map(np.concatenate, zip(*found, strict=True))
             a, b = forest(a, b) if thinned else (a, b)
             yield batch(a=(a, pa.int64()), b=(b, pa.int64()))
 
     rows = rows.select("id", *kept, "fp", F.col("side").cast("int").alias("side"), F.xxhash64("key").alias("k"))
     tasks = max(16, -(-points.count() * len(turned) // TASK_ROWS))
-    return arrow_map(rows.repartition(tasks, "k"), run, "a long, b long")
+    return arrow_map(rows.repartition(tasks, "k"), run, "a long, b long, lost boolean" if nearest else "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, k: int = 3, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,58 +335,172 @@ def simhash_groups(docs: DataFrame, k: int = 3, budget: int = 3, id_col: str = "
     return rows.join(by_class, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
 
 
-#: For similar texts: shingle words, fingerprint words, and bits of them all in which linked texts may differ.
-#: Sets of shingles with a Jaccard similarity of 0.8 have a cosine of 0.889, an angle of 27.3 degrees, so 48.5 of 320 bits differ
-#: (deviation 6.4); the cut is over three deviations above, since the sets decide after it.
+#: For similar texts: shingle words, and the chance that one bit differs between sets at a Jaccard similarity of 0.8
+#: (cosine 0.889, angle 27.3 degrees of 180). Pairs are dropped unseen only where the bits differ in over DEVIATIONS standard deviations more.
 SIMILAR_SHINGLE = 5
-SIMILAR_WORDS = 5
-SIMILAR_BITS = 70
+BIT_DIFFERS = 0.1515
+DEVIATIONS = 3.4
+#: Pairs that a text proposes in a task before its other ones are left to the comparison of whole families.
+NEAREST = 2
+#: Bytes of sets in a block of a family, rows of two blocks that are compared at once, and shingles at once.
+COMPARE_BYTES = 16_000_000
+COMPARE_ROWS = 512
+COMPARE_COLUMNS = 8192
+#: Most classes for which a plan (bits of a table, errors, tables) proposes about ten chance pairs a class; each plan has
+#: a pair at 0.8 in one of its tables with a chance of 0.95.
+PLANS = ((1_500_000, 32, 3, 10), (2_500_000_000, 48, 4, 21), (2**63, 64, 5, 45))
 
 
-def similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of pairs (a, b) of classes (id, n, low: a doc_id with the set) those whose sets of shingles have a Jaccard similarity of 0.8 or more.
+def plan_similar(n: int) -> tuple[int, int, int, int]:
+    """Bits of a table, errors, tables, and the words of 64 bits that hold them, for n texts."""
+    bits, errors, tables = next(p[1:] for p in PLANS if n <= p[0])
+    return bits, errors, tables, -(-tables // (64 // bits))
 
-    Only texts of paired classes are read again. Equal ids may stand for several texts, so a set is taken by its set_id.
-    """
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    wanted = stored(classes.join(ids, "id").select("low").distinct())
+
+def shingle_sets(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id (set_id) and s (the set of shingles) of the texts of these rows (row keys). Only these texts are read."""
+    rows = stored(rows.select(*ROW).distinct())
 
     def run(batches):
         for group in by_bytes(rows_of(batches), lambda r: len(r[1]) + 64, BATCH_BYTES):
             each = [shingle_set(t, SIMILAR_SHINGLE) for _, t in group]
             yield batch(id=([set_id(x) for x in each], pa.int64()), s=([x.view(np.int64) for x in each], pa.list_(pa.int64())))
 
-    texts = id_and_text(docs, id_col, text_col).withColumn("low", F.coalesce("doc_id", F.lit(NO_ID)))
-    texts = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "low", "left_semi").drop("low")
-    sets = stored(arrow_map(texts, run, "id long, s array<long>").groupBy("id").agg(F.first("s").alias("s")))
+    texts = numbered(docs, id_col, text_col)
+    texts = texts.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, list(ROW), "left_semi").select("doc_id", "text")
+    return stored(arrow_map(texts, run, "id long, s array<long>").groupBy("id").agg(F.first("s").alias("s")))
+
+
+def similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of pairs (a, b) of classes (id, low: a struct with the key of a row of the class) those whose sets of shingles have a Jaccard similarity of 0.8 or more.
+
+    Only texts of paired classes are read again. Equal ids may stand for several texts, so a set is taken by its set_id.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = shingle_sets(docs, classes.join(ids, "id").select("low.*"), id_col, text_col)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     # common / (sum of sizes - common) >= 4/5
     return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, component_id, for texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each set of a has in common with each of b."""
+    size_a, size_b = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
+    every = np.concatenate([*a, *b])
+    _, at, times = np.unique(every, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times[at] > 1)
+    column = np.cumsum(times > 1) - 1
+    row = np.repeat(np.arange(len(a) + len(b)), np.concatenate([size_a, size_b]))[shared]
+    column = column[at[shared]]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for low in range(0, int(column.max()) + 1 if len(column) else 0, COMPARE_COLUMNS):
+        here = (column >= low) & (column < low + COMPARE_COLUMNS)
+        m = np.zeros((len(a) + len(b), COMPARE_COLUMNS), np.float32)
+        m[row[here], column[here] - low] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out
+
+
+def compared(members: DataFrame) -> DataFrame:
+    """Links (a, b), thinned in each task, that join all members (family, group, id, s) of one family with a Jaccard similarity of 0.8
+    or more that are not in one group.
 
-    A single fingerprint with three errors finds only texts that are almost equal. So each set gets 320 bits,
-    cut into ten fingerprints of 32; ten trie self-joins with three errors each propose pairs (a pair at 0.8 is
-    in one of them with over 0.95; pairs already joined through others are left out), all 320 bits drop those that are far apart, and the sets themselves decide.
-    Equal sets are one class. Texts without words are similar to each other only. Nulls and ties as in simhash_groups.
+    A family is dealt into blocks of about COMPARE_BYTES; each pair of blocks is a task of its own, which compares its members
+    in squares of COMPARE_ROWS and returns no more links than it has members.
     """
-    names = [f"f{w}" for w in range(SIMILAR_WORDS)]
-    rows = stored(fingerprints(docs, SIMILAR_SHINGLE, SIMILAR_WORDS, id_col, text_col, sets=True))
-    classes = stored(rows.groupBy("id", "n", *names).agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("low")))
-    fps = tuple(fp for n in names for fp in (F.col(n), F.shiftleft(F.col(n), 32)))
+    parts = members.groupBy("family").agg(F.ceil(F.sum(F.size("s") * 8 + 64) / COMPARE_BYTES).cast("int").alias("m"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
+    dealt = members.join(parts.select("family", "m"), "family").withColumn("i", F.pmod(F.xxhash64(F.lit("part"), "id"), F.col("m")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    dealt = stored(dealt.select("id", "group", "s", F.xxhash64("family", F.least("i", "j"), F.greatest("i", "j")).alias("k"), F.when(F.col("i") == F.col("j"), 2).otherwise((F.col("i") > F.col("j")).cast("int")).alias("side")))
+    n, held = dealt.agg(F.countDistinct("k"), F.coalesce(F.sum(F.size("s") * 8 + 64), F.lit(0))).first()
+
+    def run(batches):
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts).combine_chunks()
+        k, side, ids, group = (t.column(c).to_numpy() for c in ("k", "side", "id", "group"))
+        lists = t.column("s").chunk(0)
+        edge, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        order = np.lexsort((group, side, k))
+        change = np.flatnonzero(np.concatenate([[True], k[order][1:] != k[order][:-1], [True]]))
+        for lo, hi in zip(change[:-1].tolist(), change[1:].tolist(), strict=True):
+            at = order[lo:hi]
+            split = int(np.searchsorted(side[at], 1)) if side[at[-1]] == 1 else 0  # two blocks: pairs across them only
+            first, second = (at[:split], at[split:]) if split else (at, at)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for i in range(0, len(first), COMPARE_ROWS):
+                for j in range(0 if split else i, len(second), COMPARE_ROWS):
+                    a, b = first[i : i + COMPARE_ROWS], second[j : j + COMPARE_ROWS]
+                    if group[a[0]] == group[b[-1]] and group[a[-1]] == group[b[0]]:  # one group on both sides
+                        continue
+                    sa, sb = ([values[edge[x] : edge[x + 1]] for x in y] for y in (a, b))
+                    sizes = np.add.outer(*(np.fromiter(map(len, x), np.int64, len(x)) for x in (sa, sb)))
+                    p, q = np.nonzero((9 * _common(sa, sb) >= 4 * sizes) & (group[a][:, None] != group[b][None, :]))
+                    found.append((ids[a[p]], ids[b[q]]))
+                    if len(found) > 64:
+                        found = [forest(*map(np.concatenate, zip(*found, strict=True)))]
+            if found:
+                a, b = forest(*map(np.concatenate, zip(*found, strict=True)))
+                yield batch(a=(a, pa.int64()), b=(b, pa.int64()))
+
+    return arrow_map(dealt.repartition(max(16, min(n, -(-held // COMPARE_BYTES))), "k"), run, "a long, b long")
+
+
+def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """similar_groups() of placed docs with each row's key, and `chosen`: whether it is the one row of its group that a deduplicated table holds."""
+    bits, errors, tables, words = plan_similar(docs.count())
+    most = round(64 * words * BIT_DIFFERS + DEVIATIONS * (64 * words * BIT_DIFFERS * (1 - BIT_DIFFERS)) ** 0.5)
+    names = [f"f{w}" for w in range(words)]
+    rows = stored(fingerprints(docs, SIMILAR_SHINGLE, words, id_col, text_col, sets=True))
+    low = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), *ROW)).alias("low")
+    classes = stored(rows.groupBy("id", "n", *names).agg(low))
+    fps = tuple(F.shiftleft(F.col(n), i * bits) for n in names for i in range(64 // bits))[:tables]
     # stars: each class with the smallest one that shares a fingerprint, so that large groups of near copies are one before pairs are sought
-    pieces = classes.select("id", *names, F.posexplode(F.array(*(F.shiftrightunsigned(fp, 32) for fp in fps))).alias("p", "v"))
+    pieces = classes.select("id", *names, F.posexplode(F.array(*(F.shiftrightunsigned(fp, 64 - bits) for fp in fps))).alias("p", "v"))
     hubs = pieces.groupBy("p", "v").agg(F.min(F.struct(F.col("id").alias("a"), *(F.col(n).alias(f"h{n}") for n in names))).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("p", "v", "hub.*")
     far = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"h{n}"))) for n in names), F.lit(0))
-    stars = stored(pieces.join(hubs, ["p", "v"]).where((F.col("id") != F.col("a")) & (far <= SIMILAR_BITS)).select("a", F.col("id").alias("b")).distinct())
+    stars = pieces.join(hubs, ["p", "v"]).where((F.col("id") != F.col("a")) & (far <= most)).select("a", F.col("id").alias("b"))
+    stars = stored(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     starred = stored(similar(docs, classes, stars, id_col, text_col))
-    grouped = stored(classes.join(components(starred), "id", "left").withColumn("star", F.coalesce("root", "id")).drop("root"))
-    links = near_links(grouped, 32, 3, fps, tuple(names), SIMILAR_BITS, thinned=False, group="star")
-    pairs = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    roots = components(similar(docs, classes, pairs, id_col, text_col).union(starred))
+    grouped = stored(classes.join(components(starred), "id", "left").withColumn("star", F.coalesce("root", "id")).drop("root", "low"))
+    made = stored(near_links(grouped, bits, errors, fps, tuple(names), most, thinned=False, group="star", nearest=NEAREST))
+    pairs = made.where("not lost").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    lost = made.where("lost").select("a", "b")
+    links = starred
+    if not lost.isEmpty():
+        family = stored(components(lost).withColumnRenamed("root", "family"))
+        for end in "ab":
+            pairs = pairs.join(family.select(F.col("id").alias(end), F.col("family").alias(f"family_{end}")), end, "left")
+        pairs = pairs.where("family_a is null or family_b is null or family_a <> family_b").select("a", "b")
+        sets = shingle_sets(docs, classes.join(family, "id").select("low.*"), id_col, text_col)
+        links = links.union(compared(grouped.join(family, "id").join(sets, "id").select("id", "family", F.col("star").alias("group"), "s")))
+    links = links.union(similar(docs, classes, stored(pairs), id_col, text_col))
+    roots = components(links)
     named = stored(classes.join(roots, "id", "left").select("id", "low", F.coalesce("root", "id").alias("root")))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_class = named.join(lowest, "root").select("id", "component_id")
-    return rows.join(by_class, "id").select("doc_id", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
+    lowest = named.groupBy("root").agg(F.min("low").alias("keep"))
+    by_class = named.join(lowest, "root").select("id", "keep")
+    chosen = F.lit(True)
+    for c in ROW:
+        chosen = chosen & (F.col(c) == F.col(f"keep.{c}"))
+    return rows.select("doc_id", *ROW, "id").join(by_class, "id").select("doc_id", F.nullif("keep.doc_id", F.lit(NO_ID)).alias("component_id"), *ROW, chosen.alias("chosen"))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, component_id, for texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    A single fingerprint with three errors finds only texts that are almost equal. So each set gets several fingerprints:
+    up to 1.5 million texts ten of 32 bits, beyond that more and longer ones (PLANS), so that pairs proposed by chance stay
+    in proportion to the texts. A trie self-join of each proposes pairs (a pair at 0.8 is in one of them with over 0.95;
+    pairs already joined through others are left out), all bits together drop those that are far apart, and the sets themselves decide.
+    Each text proposes its NEAREST ones alone; texts that have more to propose (large groups of near copies) are, by those links,
+    families, whose sets are compared block by block, all with all but those already joined: no row is made for a pair that fails.
+    Equal sets are one class. Texts without words are similar to each other only. Nulls and ties as in simhash_groups;
+    an empty table gives no rows. A table that is not read from files is stored first.
+    """
+    return similar_rows(placed(docs), id_col, text_col).drop(*ROW, "chosen")
+
+
+def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one row of each group of similar texts: one with the smallest doc_id (nulls are the largest), whatever ids repeat."""
+    docs = placed(docs)
+    return without(docs, similar_rows(docs, id_col, text_col).where(~F.col("chosen")))
