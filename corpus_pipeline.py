@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provloom.llm import exact_dedup, packing, simhash, substring_dedup, toxicity
-from provloom.llm.common import stored, table, without
+from provloom.llm.common import stored, table
 from provloom.llm.queries import split_pattern, vocabulary
 
 #: Words of a repeated passage that goes.
@@ -22,20 +22,21 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for A-Z case, the one with the largest doc_id stays."""
-    return without(docs, exact_dedup.exact_groups(docs).where(~F.col("kept")).select("doc_id"))
+    """Of texts equal but for A-Z case, one row stays, with the largest doc_id."""
+    return exact_dedup.without_copies(docs)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar texts the one with the smallest doc_id stays."""
-    return without(docs, simhash.similar_groups(docs).where("doc_id <> component_id").select("doc_id"))
+    """Of each group of similar texts one row stays, with the smallest doc_id."""
+    return simhash.without_similar(docs)
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of PASSAGE words or more go from all documents but the first that has them; n_chars follows the text."""
+    removed = substring_dedup.free_name(docs, "n_removed")
     out = substring_dedup.remove_repeats(docs, PASSAGE, texts=True)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
 
 
