@@ -15,11 +15,13 @@ from .common import arrow_map, id_and_text, stored, utf8
 from .exact_dedup import mix
 from .substring_dedup import word_hashes
 
-#: Bytes of context, the depth from which trees are weighted, and the parts of a bit that code lengths are rounded up to.
+#: Bytes of context, the nearest of them that a range has in common, and the parts of a bit that code lengths are rounded up to.
 DEPTH = 5
 TOP = 2
 PARTS = 1024
 CHUNK = 1 << 16
+#: Parts of a natural logarithm in which weighted probabilities are summed over ranges.
+LOG_UNIT = 1 << 16
 _TABLE = 1 << 16
 _half = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_TABLE) + 0.5))])
 _fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, _TABLE + 1)))])
@@ -86,52 +88,93 @@ class _Level:
         return (self.total[b + 1][self.node[b + 1]] + 0.5) / (t + 1), t
 
 
-def code_lengths(key: np.ndarray, n: np.ndarray, shallow: np.ndarray) -> np.ndarray:
+def _weights(levels: list[_Level], b: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For nodes of bit b: log of the weighted probability of the training bits at depth TOP, and at each depth the
+    posterior weight of stopping there, from the deepest contexts up."""
+    below, stop = None, [np.zeros(0)] * len(levels)
+    for i in range(len(levels) - 1, -1, -1):
+        lv = levels[i]
+        ones = lv.ones(b)
+        own = kt_log(lv.total[b] - ones, ones)
+        if below is None:
+            below, stop[i] = own, np.ones(len(own))
+            continue
+        deep = levels[i + 1]
+        parent = np.searchsorted(lv.u, ((deep.u >> np.uint64(16)) << np.uint64(8)) | (deep.u & np.uint64(255)))
+        below, stop[i] = _weighted(own, np.bincount(lv.node[b][parent[deep.first[b]]], weights=below, minlength=len(own)))
+    return below, stop
+
+
+def _weighted(own: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Half the estimate of a node itself and half that of its children together, as a logarithm; the share of the first half."""
+    weighted = np.logaddexp(own, split) - math.log(2)
+    return weighted, np.exp(own - math.log(2) - weighted)
+
+
+def top_sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the weighted log probabilities of depth TOP over all contexts with one nearest byte: places (nearest byte * 255 + node) and sums
+    in units of 1 / LOG_UNIT, as integers, which add up to the same number in any order."""
+    levels = [_Level(key, n, d) for d in range(TOP, DEPTH + 1)]
+    out = np.zeros(256 * 255)
+    for b in range(8):
+        below, _ = _weights(levels, b)
+        u = levels[0].u[levels[0].first[b]].astype(np.int64)
+        np.add.at(out, (u >> 16) * 255 + (1 << b) - 1 + ((u & 255) >> (8 - b)), below)
+    at = np.flatnonzero(out)
+    return at, np.round(out[at] * LOG_UNIT).astype(np.int64)
+
+
+def _nodes(counts: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones at each node of bit b; counts[..., byte]."""
+    halves = counts.reshape(*counts.shape[:-1], 1 << b, 2, 1 << (7 - b)).sum(axis=-1)
+    return halves[..., 0], halves[..., 1]
+
+
+class Shallow:
+    """Estimates and weights of depths zero and one, from counts[nearest byte, byte] and the sums that all ranges' top_sums() make."""
+
+    def __init__(self, counts: np.ndarray, sums: np.ndarray) -> None:
+        self.kt, self.seen, self.stop = [], [], []
+        sums = sums.reshape(256, 255)
+        for b in range(8):
+            zeros, ones = _nodes(counts, b)
+            deep, stop = _weighted(kt_log(zeros, ones), sums[:, (1 << b) - 1 : (2 << b) - 1])
+            all_zeros, all_ones = zeros.sum(axis=0, keepdims=True), ones.sum(axis=0, keepdims=True)
+            _, root = _weighted(kt_log(all_zeros, all_ones), deep.sum(axis=0, keepdims=True))
+            self.stop.append((root, stop))
+            self.kt.append(((all_ones + 0.5) / (all_zeros + all_ones + 1), (ones + 0.5) / (zeros + ones + 1)))
+            self.seen.append((all_zeros + all_ones > 0, zeros + ones > 0))
+
+    def bits(self, b: int, depth: int, c1: np.ndarray, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each (nearest byte, byte): KT estimate of the byte's bit b, whether the node was seen, and the weight of stopping there."""
+        row, prefix = (c1 if depth else np.zeros_like(c1)), sym >> (8 - b)
+        one = self.kt[b][depth][row, prefix]
+        return np.where((sym >> (7 - b)) & 1 == 1, one, 1 - one), self.seen[b][depth][row, prefix], self.stop[b][depth][row, prefix]
+
+
+def code_lengths(key: np.ndarray, n: np.ndarray, shallow: Shallow) -> np.ndarray:
     """Bits of each distinct sorted key, whose training counts are n; all keys that share the nearest TOP bytes are here.
 
-    shallow[c1, byte]: training counts of depth one. At each binary node the weights of its depth follow from
-    the probabilities that the tree's two choices (stop here, or split by one more byte) give to the training
-    bytes, from the deepest contexts up. A context that training never saw has no say.
+    At each binary node the weights of all depths, zero to DEPTH, follow from the probabilities that the tree's two
+    choices (stop here, or split by one more byte) give to the training bytes, from the deepest contexts up. A
+    context that training never saw has no say.
     """
     levels = [_Level(key, n, d) for d in range(TOP, DEPTH + 1)]
     out = np.zeros(len(key))
     c1, sym = (key >> np.uint64(8 * DEPTH)).astype(np.int64), (key & np.uint64(255)).astype(np.int64)
-    tops = [shallow.sum(axis=0, keepdims=True), shallow]
     for b in range(8):
-        below, stop = None, [np.zeros(0)] * len(levels)
-        for i in range(len(levels) - 1, -1, -1):
-            lv = levels[i]
-            ones = lv.ones(b)
-            own = kt_log(lv.total[b] - ones, ones)
-            if below is None:
-                weighted, stop[i] = own, np.ones(len(own))
-            else:
-                deep = levels[i + 1]
-                parent = np.searchsorted(lv.u, ((deep.u >> np.uint64(16)) << np.uint64(8)) | (deep.u & np.uint64(255)))
-                split = np.bincount(lv.node[b][parent[deep.first[b]]], weights=below, minlength=len(own))
-                weighted = np.logaddexp(own, split) - math.log(2)
-                stop[i] = np.exp(own - math.log(2) - weighted)
-            below = weighted
-        q = np.full(len(key), 0.5)
-        lo, width = (sym >> (8 - b)) << (8 - b), 1 << (8 - b)
-        low1 = (sym >> (7 - b)) << (7 - b)
-        for t in tops:
-            cum = np.concatenate([np.zeros((len(t), 1), np.int64), np.cumsum(t, axis=1)], axis=1)
-            row = c1 if len(t) > 1 else 0
-            total = cum[row, lo + width] - cum[row, lo]
-            q = np.where(total > 0, (cum[row, low1 + width // 2] - cum[row, low1] + 0.5) / (total + 1), q)
-        kt, seen = levels[0].kt(b)
-        q = np.where(seen[levels[0].of] > 0, 0.0, q)
-        mixed, known = None, None
-        for i in range(len(levels) - 1, -1, -1):
-            kt, seen = levels[i].kt(b)
-            kt, here = kt[levels[i].of], seen[levels[i].of] > 0
-            if mixed is None:
-                mixed, known = kt, here
+        _, stop = _weights(levels, b)
+        mixed, known = np.full(len(key), 0.5), np.zeros(len(key), bool)
+        for depth in range(DEPTH, -1, -1):
+            if depth >= TOP:
+                lv = levels[depth - TOP]
+                kt, seen = lv.kt(b)
+                kt, here, w = kt[lv.of], seen[lv.of] > 0, stop[depth - TOP][lv.node[b]][lv.of]
             else:
-                w = np.where(known, stop[i][levels[i].node[b]][levels[i].of], 1.0)
-                mixed, known = w * kt + (1 - w) * mixed, here
-        out -= np.log2(np.where(known, mixed, q))
+                kt, here, w = shallow.bits(b, depth, c1, sym)
+            w = np.where(known, w, 1.0)
+            mixed, known = np.where(here, w * kt + (1 - w) * mixed, mixed), here | known
+        out -= np.log2(mixed)
     return out
 
 
@@ -141,9 +184,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts are A-Z lower-cased words joined by one space with one end. Blocks of texts send the distinct
     (context, byte) keys of all their bytes, with counts from training texts, to ranges that hold all contexts
     with the same nearest two bytes; a range adds up the counts of all blocks, weights its trees and answers
-    with code lengths, so no task and not the driver ever holds the model, which grows with the corpus. Only
-    counts of byte pairs (65,536 at most) are broadcast. Trees split at the two nearest bytes always, and are
-    weighted from there to DEPTH; estimates of depth one and none serve contexts never seen deeper. Word counts
+    with code lengths, so no task and not the driver ever holds the model, which grows with the corpus. Ranges first
+    send up the weighted probabilities of their trees, summed by nearest byte: with the counts of byte pairs
+    these 65,280 numbers give the weights of depths zero and one, so estimates of all depths are mixed. Word counts
     for base_score go the same way by the word's hash. Code lengths are rounded up, so probabilities never sum
     to over one. Null text: empty (its end alone); null doc_id: its text form is empty, in training; repeated
     rows count each; with no training text all estimates are even; an empty table gives no rows.
@@ -221,10 +264,21 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
         return each, every[first], np.add.reduceat(n[order], first)
 
+    def sums(t: pa.Table) -> pa.Table:
+        _, key, n = merged(t)
+        at, s = top_sums(key, n)
+        return pa.table({"at": pa.array(at, pa.int32()), "s": pa.array(s, pa.int64())})
+
+    asking = asked.where("range is not null").select("range", "block", "numbers", "extra")
+    top = np.zeros(256 * 255)
+    for at, value in asking.where("range >= 0").groupBy("range").applyInArrow(sums, "at int, s long").groupBy("at").agg(F.sum("s")).collect():
+        top[at] = value / LOG_UNIT
+    tree = Shallow(shallow, top)
+
     def answer(t: pa.Table) -> pa.Table:
         each, key, n = merged(t)
         if t.column("range")[0].as_py() >= 0:
-            value = np.minimum(np.ceil(code_lengths(key, n, shallow) * PARTS), 2**32 - 1).astype(np.uint64)
+            value = np.minimum(np.ceil(code_lengths(key, n, tree) * PARTS), 2**32 - 1).astype(np.uint64)
             stats = (0, 0)
         else:
             value, stats = n.astype(np.uint64), (int((n > 0).sum()), int(n.sum()))
@@ -232,7 +286,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         size = len(out)
         return pa.table({"block": t.column("block"), "range": t.column("range"), "answer": pa.array(out, pa.binary()), "v": pa.array([stats[0]] + [0] * (size - 1), pa.int64()), "n": pa.array([stats[1]] + [0] * (size - 1), pa.int64())})
 
-    answers = stored(asked.where("range is not null").select("range", "block", "numbers", "extra").groupBy("range").applyInArrow(answer, "block long, range int, answer binary, v long, n long"))
+    answers = stored(asking.groupBy("range").applyInArrow(answer, "block long, range int, answer binary, v long, n long"))
     v, n = answers.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     distinct_tokens, train_tokens = v + (train_docs > 0), n + train_docs
     unit = train_tokens + distinct_tokens + 1

@@ -6,7 +6,6 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,11 +105,11 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def build_filters(snapshot: DataFrame, shards: int) -> DataFrame:
     """One filter for each shard of a snapshot's keys."""
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = FuseFilter.build(pdf["key"].to_numpy(np.int64).view(np.uint64))
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "seed": [f.seed], "segment": [f.segment], "segments": [f.segments], "filter": [f.table.tobytes()]})
+    def build(t: pa.Table) -> pa.Table:
+        f = FuseFilter.build(t.column("key").to_numpy().view(np.uint64))
+        return pa.table({"part": t.column("part").slice(0, 1), "seed": pa.array([f.seed], pa.int64()), "segment": pa.array([f.segment], pa.int64()), "segments": pa.array([f.segments], pa.int64()), "filter": pa.array([f.table.tobytes()], pa.binary())})
 
-    return snapshot.select(F.pmod(F.col("key"), F.lit(shards)).cast("int").alias("part"), "key").groupBy("part").applyInPandas(build, "part int, seed long, segment long, segments long, filter binary")
+    return snapshot.select(F.pmod(F.col("key"), F.lit(shards)).cast("int").alias("part"), "key").groupBy("part").applyInArrow(build, "part int, seed long, segment long, segments long, filter binary")
 
 
 def screen(incoming: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
@@ -118,15 +117,16 @@ def screen(incoming: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
     keyed = incoming.withColumn("part", F.pmod(F.col("key"), F.lit(shards)).cast("int"))
     fields = keyed.schema
 
-    def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if right.empty or left.empty:
-            return left.assign(hit=False)
-        r = right.iloc[0]
-        f = FuseFilter(int(r["seed"]), int(r["segment"]), int(r["segments"]), np.frombuffer(r["filter"], np.uint16))
-        return left.assign(hit=f.holds(left["key"].to_numpy(np.int64).view(np.uint64)))
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        hit = np.zeros(left.num_rows, bool)
+        if left.num_rows and right.num_rows:
+            (r,) = right.to_pylist()
+            f = FuseFilter(r["seed"], r["segment"], r["segments"], np.frombuffer(r["filter"], np.uint16))
+            hit = f.holds(left.column("key").to_numpy().view(np.uint64))
+        return left.append_column("hit", pa.array(hit))
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    return keyed.groupBy("part").cogroup(filters.groupBy("part")).applyInPandas(probe, f"{kinds}, hit boolean")
+    return keyed.groupBy("part").cogroup(filters.groupBy("part")).applyInArrow(probe, f"{kinds}, hit boolean")
 
 
 def same_bytes(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

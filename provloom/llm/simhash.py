@@ -473,8 +473,8 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             pairs = pairs.join(family.select(F.col("id").alias(end), F.col("family").alias(f"family_{end}")), end, "left")
         pairs = pairs.where("family_a is null or family_b is null or family_a <> family_b").select("a", "b")
         sets = shingle_sets(docs, classes.join(family, "id").select("low.*"), id_col, text_col)
-        links = links.union(compared(grouped.join(family, "id").join(sets, "id").select("id", "family", F.col("star").alias("group"), "s")))
-    links = links.union(similar(docs, classes, stored(pairs), id_col, text_col))
+        links = links.union(stored(compared(grouped.join(family, "id").join(sets, "id").select("id", "family", F.col("star").alias("group"), "s"))))
+    links = links.union(stored(similar(docs, classes, stored(pairs), id_col, text_col)))
     roots = components(links)
     named = stored(classes.join(roots, "id", "left").select("id", "low", F.coalesce("root", "id").alias("root")))
     lowest = named.groupBy("root").agg(F.min("low").alias("keep"))

@@ -1,7 +1,9 @@
 """Operators of provloom.llm against brute force on small fixtures with nulls, ties, repeated rows and clashing names."""
 
 import collections
+import functools
 import hashlib
+import math
 import random
 import zlib
 
@@ -120,20 +122,35 @@ def test_toxicity(spark, docs):
     assert toxicity.keep_clean(docs, labels.where("false")).columns == docs.columns
 
 
-def test_embeddings(spark, monkeypatch):
+@pytest.mark.parametrize(("kind", "size"), [("float", 4000), ("double", 4000), ("float", 7)])
+def test_embeddings(spark, monkeypatch, kind, size):
+    """Against brute force: linked vectors at several similarities, a bucket with very many rows, and every kind of vector that links with nothing."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", size)
+    monkeypatch.setattr(embedding_dedup, "PAIRS", 300)
     rng = np.random.default_rng(2)
     base = rng.standard_normal((15, 16))
-    x = (base[rng.integers(0, 15, 300)] + 0.25 * rng.standard_normal((300, 16))).astype(np.float32)
+    x = base[rng.integers(0, 15, 500)] + rng.choice([0.05, 0.25, 0.3], (500, 1)) * rng.standard_normal((500, 16))
+    x = x.astype(np.float32 if kind == "float" else np.float64)
     x[5] = x[6] = x[7]
-    data = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [], 1)]
-    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    if kind == "double":
+        x *= 10.0 ** rng.integers(-150, 150, (500, 1))
+    odd = [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [], 1), (904, [None, *[1.0] * 15], 1), (905, [1.0, 0.0], 1), (906, [1.0, 0.001], 1)]
+    data = [(i, v.tolist(), 0) for i, v in enumerate(x)] + odd + [(None, x[5].tolist(), 2), (5, x[5].tolist(), 2)]
+    got = embedding_dedup.embedding_groups(spark.createDataFrame(data, f"vec_id long, embedding array<{kind}>, n long")).collect()
+    assert len(got) == len(data)
+    u = x.astype(float) / np.abs(x.astype(float)).max(axis=1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
     near = u @ u.T >= 0.95
-    for size in (2000, 6):
-        monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", size)
-        got = {r.vec_id: r for r in embedding_dedup.embedding_groups(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")).collect()}
-        assert sum(got[i].n_links for i in range(300)) >= 0.98 * (near.sum() - 300)
-        assert all(got[i].n_links <= near[i].sum() - 1 for i in range(300))
-        assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in (900, 901, 902, 903))
+    links = near.sum(axis=1) - 1 + 2 * near[:, 5]  # two more rows are copies of number 5
+    of = {i: [r for r in got if r.vec_id == i] for i in {r.vec_id for r in got}}
+    assert sum(of[i][0].n_links for i in range(500)) >= 0.999 * links.sum() and all(of[i][0].n_links <= links[i] for i in range(500))
+    root = brute_components({i: i for i in range(500)}, near=lambda a, b: near[a, b])
+    assert np.mean([of[i][0].component_id == root[i] for i in range(500)]) >= 0.999
+    assert all(of[i][0].kept == (of[i][0].component_id == i) for i in range(500))
+    assert all(of[i][0].n_links == 0 and of[i][0].component_id == i and of[i][0].kept for i in (900, 901, 902, 903, 904))
+    assert [(r.n_links, r.component_id) for r in of[905] + of[906]] == [(1, 905), (1, 905)]
+    assert {(r.n_links, r.component_id) for r in of[None] + of[5]} == {(of[5][0].n_links, root[5])} and not of[None][0].kept
+    assert embedding_dedup.embedding_groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
 def test_bpe(docs, rows):
@@ -166,21 +183,82 @@ def test_exact_dedup(docs, rows):
     assert f.holds(keys).all() and f.holds(keys + np.uint64(1)).mean() < 0.01
 
 
-def test_context_tree(docs, rows):
-    got = context_tree.score_texts(docs).collect()
-    assert len(got) == len(rows) and all(r.score < 0 and r.n_known <= r.n_tokens for r in got)
-    assert context_tree.score_texts(empty(docs)).count() == 0
+def brute_tree(texts, held):
+    """Context-tree weighting by its definition: nodes (context, bits of the byte so far), their KT and weighted probabilities, in logarithms."""
+    depth = context_tree.DEPTH
+    flat = [b" ".join(t.lower().split()) + b"\n" for t in texts]
+    count = collections.Counter()
+    for t, h in zip(flat, held, strict=True):
+        padded = b"\n" * depth + t
+        for i in range(0 if h else len(t)):
+            for d in range(depth + 1):
+                context = padded[i + depth - d : i + depth][::-1]  # the nearest byte first
+                for b in range(8):
+                    count[context, b, t[i] >> (8 - b), t[i] >> (7 - b) & 1] += 1
+    seen, children = {k[:3] for k in count}, collections.defaultdict(set)
+    for c, b, p in seen:
+        if c:
+            children[c[:-1], b, p].add((c, b, p))
+
+    def kt(node):
+        zeros, ones = count[*node, 0], count[*node, 1]
+        return math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(zeros + ones + 1)
+
+    @functools.cache
+    def weighted(node):
+        if len(node[0]) == depth:
+            return kt(node)
+        return np.logaddexp(kt(node), sum(weighted(c) for c in children[node])) - math.log(2)
+
+    def bit(context, b, p, one):
+        mixed, known = 0.5, False
+        for d in range(depth, -1, -1):
+            node = (context[:d], b, p)
+            if node in seen:
+                here = (count[*node, one] + 0.5) / (count[*node, 0] + count[*node, 1] + 1)
+                w = math.exp(kt(node) - math.log(2) - weighted(node)) if known else 1.0
+                mixed, known = w * here + (1 - w) * mixed, True
+        return mixed
+
+    out = []
+    for t in flat:
+        padded = b"\n" * depth + t
+        out.append(sum(math.log10(bit(padded[i : i + depth][::-1], b, t[i] >> (8 - b), t[i] >> (7 - b) & 1)) for i in range(len(t)) for b in range(8)))
+    return out
+
+
+@pytest.mark.parametrize("size", [300, 8_000_000])
+def test_context_tree(spark, rows, size, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", size)
+    some = [r for r in rows if len(r[1] or "") < 400][:30] + [(500, None), (501, ""), (None, "w1 w2 W3"), (7, "dup"), (7, "dup")]
+    got = context_tree.score_texts(spark.createDataFrame([(i, t, 1) for i, t in some], "doc_id long, text string, n_tokens long").repartition(3)).collect()
+    texts = [(t or "").encode() for _, t in some]
+    held = [zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i, _ in some]
+    tokens_of = [[*t.lower().split(), None] for t in texts]
+    c = collections.Counter(w for ws, h in zip(tokens_of, held, strict=True) if not h for w in ws)
+    n, v = c.total(), len(c)
+    want = sorted((2**62 if i is None else i, h, len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), s) for (i, _), h, ws, s in zip(some, held, tokens_of, brute_tree(texts, held), strict=True))
+    out = sorted((2**62 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got)
+    for a, b in zip(out, want, strict=True):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-9)
+        assert a[6] <= b[6] + 1e-3 and a[6] == pytest.approx(b[6], rel=2e-3, abs=0.02)  # code lengths are rounded up
+    assert context_tree.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_code_lengths_are_probabilities():
     rng = np.random.default_rng(5)
     ctx = np.uint64(0x6162636465) << np.uint64(8)
     key = ctx | np.arange(256, dtype=np.uint64)
-    n = np.where(rng.random(256) < 0.1, rng.integers(1, 50, 256), 0)
-    assert abs((2.0 ** -context_tree.code_lengths(key, n, np.zeros((256, 256), np.int64))).sum() - 1) < 1e-9
+    for share in (0.1, 0.0):
+        n = np.where(rng.random(256) < share, rng.integers(1, 50, 256), 0)
+        counts, top = np.zeros((256, 256), np.int64), np.zeros(256 * 255)
+        counts[0x61] = n
+        at, s = context_tree.top_sums(key, n)
+        top[at] = s / context_tree.LOG_UNIT
+        assert abs((2.0 ** -context_tree.code_lengths(key, n, context_tree.Shallow(counts, top))).sum() - 1) < 1e-9
 
 
-def brute_components(fp, bits):
+def brute_components(fp, bits=0, near=None):
     ids = sorted(fp)
     root = {i: i for i in ids}
 
@@ -191,7 +269,7 @@ def brute_components(fp, bits):
 
     for a in ids:
         for b in ids:
-            if a < b and (fp[a] ^ fp[b]).bit_count() <= bits:
+            if a < b and (near(a, b) if near else (fp[a] ^ fp[b]).bit_count() <= bits):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}
