@@ -11,8 +11,9 @@ def tokens(text: Column) -> Column:
 
 
 def term_search(corpus: DataFrame, query: str, limit: int = 5) -> DataFrame:
-    """Rows (id, name, body) by 4 x name hits + body hits, those over 0, ties by id."""
+    """Rows (id, name, body, and tactics if there: an array of hyphened names) by 4 x name hits + 2 x tactic hits + body hits, those over 0, ties by id."""
     q = tokens(F.lit(query))
     hits = lambda c: F.size(F.array_intersect(tokens(F.coalesce(F.col(c), F.lit(""))), q))
-    scored = corpus.select("id", (4 * hits("name") + hits("body")).cast("long").alias("score"))
+    tactic = F.size(F.array_intersect(tokens(F.replace(F.concat_ws(" ", "tactics"), F.lit("-"), F.lit(" "))), q)) if "tactics" in corpus.columns else F.lit(0)
+    scored = corpus.select("id", (4 * hits("name") + 2 * tactic + hits("body")).cast("long").alias("score"))
     return scored.where("score > 0").orderBy(F.desc("score"), "id").limit(limit)

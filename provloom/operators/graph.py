@@ -21,25 +21,27 @@ def scan(events: DataFrame, start_ns: int, end_ns: int, phase: str | None = None
 
 
 def edges(events: DataFrame) -> DataFrame:
-    """Up to two directed edges an event, self-loops included; only object_to_subject turns the direction."""
+    """Up to two directed edges an event, numbered from 1, self-loops included; only object_to_subject turns the direction."""
     turned = F.col("flow_direction") == "object_to_subject"
-    some = F.filter(F.array(*(F.struct(F.lit(i).alias("predicate_index"), F.col(c).alias("object_uuid")) for i, c in enumerate(("predicate_uuid", "predicate2_uuid")))), lambda x: x["object_uuid"].isNotNull())
+    role = F.concat(F.lit("predicate"), F.col("predicate_index"))
+    some = F.filter(F.array(*(F.struct(F.lit(i).alias("predicate_index"), F.col(c).alias("object_uuid")) for i, c in enumerate(("predicate_uuid", "predicate2_uuid"), 1))), lambda x: x["object_uuid"].isNotNull())
     out = events.where("subject_uuid is not null").select("*", F.inline(some))
-    return out.withColumns({"src_uuid": F.when(turned, F.col("object_uuid")).otherwise(F.col("subject_uuid")), "dst_uuid": F.when(turned, F.col("subject_uuid")).otherwise(F.col("object_uuid"))})
+    return out.withColumns({"src_uuid": F.when(turned, F.col("object_uuid")).otherwise(F.col("subject_uuid")), "dst_uuid": F.when(turned, F.col("subject_uuid")).otherwise(F.col("object_uuid")), "src_role": F.when(turned, role).otherwise("subject"), "dst_role": F.when(turned, "subject").otherwise(role)})
 
 
 def compress(edge_rows: DataFrame, *scope: str) -> DataFrame:
-    """One row per scope, endpoints, type and predicate; evidence of the first event, ties by place in the log. No self-loops."""
-    first = F.struct("timestamp_ns", "raw_line", "raw_offset", "event_uuid")
-    out = edge_rows.where("src_uuid <> dst_uuid").groupBy(*scope, "src_uuid", "dst_uuid", "event_type", "predicate_index").agg(F.count(F.lit(1)).alias("event_count"), F.min(first).alias("f"), F.max("timestamp_ns").alias("last_timestamp_ns"))
-    return out.select(*scope, "src_uuid", "dst_uuid", "event_type", "predicate_index", "event_count", F.col("f.timestamp_ns").alias("first_timestamp_ns"), "last_timestamp_ns", F.col("f.event_uuid").alias("first_event_uuid"), F.col("f.raw_offset").alias("first_raw_offset"))
+    """One row per scope, endpoints, type and predicate; evidence of the first event, ties by place in the log. No self-loops. Events without a time are left out."""
+    e = edge_rows if "raw_shard" in edge_rows.columns else edge_rows.withColumn("raw_shard", F.lit(0))
+    first = F.struct("timestamp_ns", "raw_shard", "raw_line", "raw_offset", "event_uuid")
+    out = e.where("src_uuid <> dst_uuid and timestamp_ns is not null").groupBy(*scope, "src_uuid", "dst_uuid", "event_type", "predicate_index").agg(F.count(F.lit(1)).alias("event_count"), F.min(first).alias("f"), F.max("timestamp_ns").alias("last_timestamp_ns"))
+    return out.select(*scope, "src_uuid", "dst_uuid", "event_type", "predicate_index", "event_count", F.col("f.timestamp_ns").alias("first_timestamp_ns"), "last_timestamp_ns", F.col("f.event_uuid").alias("first_event_uuid"), *(F.col(f"f.{c}").alias(f"first_{c}") for c in ("raw_shard", "raw_line", "raw_offset")))
 
 
-def touches(events: DataFrame) -> DataFrame:
-    """One row per event and role that a node has in it."""
+def touches(events: DataFrame, *keep: str) -> DataFrame:
+    """One row per event and role that a node has in it, with the columns `keep` of the event."""
     roles = [("subject", "subject_uuid"), ("predicate", "predicate_uuid"), ("predicate2", "predicate2_uuid")]
     pairs = F.filter(F.array(*(F.struct(F.lit(r).alias("role"), F.col(c).alias("node_uuid")) for r, c in roles)), lambda x: x["node_uuid"].isNotNull())
-    return events.where("timestamp_ns is not null").select("timestamp_ns", "logical_day", "event_type", F.inline(pairs))
+    return events.where("timestamp_ns is not null").select("timestamp_ns", "logical_day", "event_type", *keep, F.inline(pairs))
 
 
 def bisect(events: DataFrame, length: int = DAY_NS, budget: int = 120, floor: int = 3_600_000_000_000, depth: int = 5) -> DataFrame:
@@ -80,17 +82,35 @@ def type_id(kind: Column) -> Column:
     return (F.array_position(F.array(*map(F.lit, ENTITY_TYPES)), kind) - 1).cast("int")
 
 
+#: Slices of a day that the touches of a node are dealt into before gaps are taken (a busy node is no one task).
+TIME_SLICES = 64
+
+
+def longest_gaps(touch: DataFrame, *scope: str) -> DataFrame:
+    """max_gap_ns of each node: the longest time between two touches that follow each other.
+
+    Touches are dealt into slices of time: gaps inside a slice come from a sort of that slice alone, gaps between
+    slices from the first and last touch of each, of which a node has TIME_SLICES a day at most.
+    """
+    slices = touch.select(*scope, "node_uuid", "timestamp_ns").withColumn("_slice", F.expr(f"timestamp_ns div {DAY_NS // TIME_SLICES}"))
+    inside = Window.partitionBy(*scope, "node_uuid", "_slice").orderBy("timestamp_ns")
+    rows = slices.withColumn("gap", F.col("timestamp_ns") - F.lag("timestamp_ns").over(inside))
+    ends = rows.groupBy(*scope, "node_uuid", "_slice").agg(F.max("gap").alias("gap"), F.min("timestamp_ns").alias("lo"), F.max("timestamp_ns").alias("hi"))
+    between = Window.partitionBy(*scope, "node_uuid").orderBy("_slice")
+    ends = ends.withColumn("gap", F.greatest("gap", F.col("lo") - F.lag("hi").over(between)))
+    return ends.groupBy(*scope, "node_uuid").agg(F.coalesce(F.max("gap"), F.lit(0)).alias("max_gap_ns"))
+
+
 def roles(touch: DataFrame, *scope: str) -> DataFrame:
-    """Role counts, action counts and activity times in one aggregation and one window."""
-    lag = F.lag("timestamp_ns").over(Window.partitionBy(*scope, "node_uuid").orderBy("timestamp_ns"))
-    t = touch.withColumn("gap", F.col("timestamp_ns") - lag)
+    """Role counts, action counts and activity times."""
     n = F.count(F.lit(1))
     span = F.max("timestamp_ns") - F.min("timestamp_ns")
-    return t.groupBy(*scope, "node_uuid").agg(
+    out = touch.groupBy(*scope, "node_uuid").agg(
         *(F.count_if(F.col("role") == r).alias(f"{r}_count") for r in ("subject", "predicate", "predicate2")), *(F.count_if(F.col("event_type") == a).alias(a.lower()) for a in VOCABULARY),
-        F.count_if(F.col("event_type").isin(*VOCABULARY)).alias("event_count"), span.alias("activity_span_ns"), F.coalesce(F.max("gap"), F.lit(0)).alias("max_gap_ns"),
+        F.count_if(F.col("event_type").isin(*VOCABULARY)).alias("event_count"), span.alias("activity_span_ns"),
         F.round(F.when(n > 1, span / (n - 1)).otherwise(F.lit(0.0)) / 1e9, 9).alias("mean_gap_s"),
     )
+    return out.join(longest_gaps(touch, *scope), [*scope, "node_uuid"])
 
 
 def degrees(edge_rows: DataFrame, *scope: str) -> DataFrame:

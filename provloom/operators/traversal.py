@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
-from itertools import chain, zip_longest
+from itertools import chain, islice, zip_longest
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,9 +41,9 @@ class Around:
                     seen[way].add(nxt)
                     todo.append((way, nxt, hop + 1))
 
-    def covering(self, seed: str, hops: int, types: set[str], scores: dict[str, float]) -> Iterator[tuple[int, int, int]]:
+    def covering(self, seed: str, hops: int, types: set[str], scores: dict[str, float], budget: int) -> Iterator[tuple[int, int, int]]:
         """One edge for each neighbour first (those with an edge of the given types before the others), then the
-        neighbours' other edges, the two ways in turn; then what breadth-first search adds."""
+        neighbours' other edges, the two ways in turn; then what the first `budget` edges of a breadth-first search add."""
         tiers: list[list[list[int]]] = [[[], []], [[], []], [[], []]]
         for way in (0, 1):
             by: dict[str, list[int]] = {}
@@ -65,7 +65,7 @@ class Around:
         if hops > 1:
             mark = lambda i: (self.edges[i].src_uuid, self.edges[i].dst_uuid, self.edges[i].event_type, self.edges[i].first_timestamp_ns)
             had = {mark(i) for i in used}
-            for i, way, hop in self.breadth_first(seed, hops):
+            for i, way, hop in islice(self.breadth_first(seed, hops), budget):
                 if mark(i) not in had:
                     had.add(mark(i))
                     yield i, way, hop
@@ -141,7 +141,7 @@ def neighbor_cover(edges: DataFrame, seeds: DataFrame, scores: DataFrame | None
         raise ValueError("hops and budget must be positive")
 
     def each(g: Around, s, q):
-        found = zip(range(1, budget + 1), g.covering(s.node, hops, set(s.event_types), q), strict=False)
+        found = zip(range(1, budget + 1), g.covering(s.node, hops, set(s.event_types), q, budget), strict=False)
         return [(n, *g.edges[i], ("forward", "backward")[way], hop) for n, (i, way, hop) in found]
 
     return _per_interval(edges, seeds, scores, each, _OUT + ", traversal_direction string, hop int", scope)

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import term_search
-from ..operators import control, evaluation, fmg, graph, residual, scoring, traversal
+from ..operators import evaluation, features, fmg, graph, residual, scoring
 from ..sources import adapter
 from ..sources.adapter import DAY_NS, FIRST_DAY_NS, SQL_EVENTS, SQL_NODES, events, node_definitions, table
 
@@ -40,7 +39,7 @@ def oracle_sql() -> dict[str, str]:
 WITH = f"WITH {SQL_EVENTS.strip()}"
 COMPRESSED = """comp AS (
   SELECT logical_day, src_uuid, dst_uuid, event_type, predicate_index, count(*) AS event_count, min(timestamp_ns) AS first_timestamp_ns, max(timestamp_ns) AS last_timestamp_ns,
-    arg_min(event_uuid, (timestamp_ns, raw_line)) AS first_event_uuid, arg_min(raw_offset, (timestamp_ns, raw_line)) AS first_raw_offset
+    arg_min(event_uuid, (timestamp_ns, raw_line)) AS first_event_uuid, 0 AS first_raw_shard, arg_min(raw_line, (timestamp_ns, raw_line)) AS first_raw_line, arg_min(raw_offset, (timestamp_ns, raw_line)) AS first_raw_offset
   FROM edges WHERE src_uuid <> dst_uuid GROUP BY ALL)"""
 TOUCH = """touch AS (
   SELECT * FROM (SELECT timestamp_ns, logical_day, event_type, r.role, CASE r.role WHEN 'subject' THEN subject_uuid WHEN 'predicate' THEN predicate_uuid ELSE predicate2_uuid END AS node_uuid FROM e, (VALUES ('subject'), ('predicate'), ('predicate2')) AS r(role)) WHERE node_uuid IS NOT NULL)"""
@@ -72,7 +71,7 @@ FMG = f"""{WITH}, {SQL_NODES.strip()}, {TOUCH}, {COMPRESSED}, member AS (
 ), occ AS (SELECT logical_day, node_uuid, min((ts, evidence_id)) AS f, max((ts, evidence_id)) AS l FROM (SELECT logical_day, src_uuid AS node_uuid, ts, evidence_id FROM wit UNION ALL SELECT logical_day, dst_uuid, ts, evidence_id FROM wit) GROUP BY ALL
 ), pairs AS (SELECT a.community_id AS src_community_id, b.community_id AS dst_community_id, a.node_uuid AS entity_uuid, oa.l AS l, ob.f AS f FROM member a JOIN member b ON b.node_uuid = a.node_uuid AND b.logical_day = a.logical_day + 1 JOIN occ oa ON oa.node_uuid = a.node_uuid AND oa.logical_day = a.logical_day JOIN occ ob ON ob.node_uuid = b.node_uuid AND ob.logical_day = b.logical_day WHERE oa.l[1] <= ob.f[1]
 ), cont AS (SELECT src_community_id, dst_community_id, 'entity_continuation' AS edge_type, l[1] AS ts, l[2] AS evidence_id, 'left' AS side, entity_uuid FROM pairs UNION ALL SELECT src_community_id, dst_community_id, 'entity_continuation', f[1], f[2], 'right', entity_uuid FROM pairs
-), rel AS (SELECT 'fmg-' || substr(sha256(edge_type || chr(0) || src_community_id || chr(0) || dst_community_id), 1, 24) AS fmg_edge_id, src_community_id, dst_community_id, edge_type, count(*) AS witness_count, count(DISTINCT entity_uuid) AS witness_entity_count, min(ts) AS first_witness_ns, max(ts) AS last_witness_ns, CASE WHEN edge_type LIKE '%continuation' THEN 'identity_continuity' ELSE 'causal' END AS evidence_semantics FROM (SELECT * FROM dir UNION ALL SELECT * FROM cont) GROUP BY src_community_id, dst_community_id, edge_type)"""
+), rel AS (SELECT 'fmg-' || substr(sha256(edge_type || chr(0) || src_community_id || chr(0) || dst_community_id), 1, 24) AS fmg_edge_id, src_community_id, dst_community_id, edge_type, count(*) AS witness_count, count(DISTINCT entity_uuid) AS witness_entity_count, min(ts) AS first_witness_ns, max(ts) AS last_witness_ns, CASE WHEN edge_type LIKE '%continuation' THEN 'identity_continuity' ELSE 'causal_event' END AS evidence_semantics, CASE WHEN edge_type LIKE '%continuation' THEN 'continues' ELSE 'before' END AS time_relation FROM (SELECT * FROM dir UNION ALL SELECT * FROM cont) GROUP BY src_community_id, dst_community_id, edge_type)"""
 
 
 def _day(df: DataFrame) -> DataFrame:
@@ -83,7 +82,7 @@ def _day(df: DataFrame) -> DataFrame:
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
     ev = events(spark, sf)
     r, d, t = graph.roles(graph.touches(ev), "logical_day"), graph.degrees(graph.edges(ev), "logical_day"), graph.node_types(node_definitions(spark, sf))
-    return r.join(t, "node_uuid").join(d, ["logical_day", "node_uuid"], "left").select("logical_day", "node_uuid", "entity_type", (F.col("event_count").cast("double") / (1 + F.coalesce("unique_neighbor_count", F.lit(0)))).alias("score"))
+    return features.typed(r, t).join(d, ["logical_day", "node_uuid"], "left").select("logical_day", "node_uuid", "entity_type", (F.col("event_count").cast("double") / (1 + F.coalesce("unique_neighbor_count", F.lit(0)))).alias("score"))
 
 
 def _percentiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +93,7 @@ def _percentiles(spark: SparkSession, sf: str) -> DataFrame:
 def _fmg(spark: SparkSession, sf: str):
     ev = _day(events(spark, sf))
     witness = fmg.witnesses(graph.compress(graph.edges(ev), "pg_id"))
-    nodes = _day(graph.touches(ev).select("logical_day", "node_uuid").distinct()).join(graph.node_types(node_definitions(spark, sf)), "node_uuid")
+    nodes = features.typed(_day(graph.touches(ev).select("logical_day", "node_uuid").distinct()), graph.node_types(node_definitions(spark, sf)))
     member = fmg.memberships(nodes)
     start = (F.col("logical_day") - 1).cast("long") * DAY_NS + FIRST_DAY_NS
     pgs = nodes.select("pg_id", start.alias("start_ns"), (start + DAY_NS).alias("end_ns")).distinct()
@@ -139,11 +138,6 @@ def shard_manifest(spark, sf):
     return events(spark, sf).groupingSets([["event_type"], ["flow_direction"], ["logical_day"], []], "event_type", "flow_direction", "logical_day").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{WITH}, {TOUCH} SELECT role, event_type, count(*) AS n, count(DISTINCT node_uuid) AS nodes FROM touch GROUP BY ALL")
-def event_references(spark, sf):
-    return graph.touches(events(spark, sf)).groupBy("role", "event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("node_uuid").alias("nodes"))
-
-
 @query(f"{WITH}, {TOUCH}, {CELLS} SELECT pg_id, start_ns, end_ns, CAST(depth AS INT) AS depth, node_count FROM leaf")
 def pg_intervals(spark, sf):
     return graph.bisect(events(spark, sf)).select("pg_id", "start_ns", "end_ns", "depth", "node_count")
@@ -175,13 +169,6 @@ def community_weights(spark, sf):
     return graph.undirected_weights(graph.compress(graph.edges(events(spark, sf)), "logical_day"), "logical_day")
 
 
-@query(f"{WITH}, {SQL_NODES.strip()}, {COMPRESSED} SELECT logical_day, dst_uuid AS node_uuid, event_type, entity_type AS source_type, round(sum(ln(1 + event_count)), 5) AS context FROM comp JOIN nt ON nt.node_uuid = src_uuid GROUP BY ALL")
-def relation_context(spark, sf):
-    c = graph.compress(graph.edges(events(spark, sf)), "logical_day")
-    t = graph.node_types(node_definitions(spark, sf)).select(F.col("node_uuid").alias("src_uuid"), F.col("entity_type").alias("source_type"))
-    return c.join(t, "src_uuid").groupBy("logical_day", F.col("dst_uuid").alias("node_uuid"), "event_type", "source_type").agg(F.round(F.sum(F.log1p("event_count")), 5).alias("context"))
-
-
 @query("""WITH c AS (SELECT event_type, median(value) AS center FROM events GROUP BY event_type), s AS (SELECT event_type, any_value(center) AS center, 1.4826 * median(abs(value - center)) AS scale FROM events JOIN c USING (event_type) GROUP BY event_type)
 SELECT event_type, round(center, 6) AS center, round(CASE WHEN scale > 1e-6 THEN scale ELSE coalesce((SELECT median(scale) FROM s WHERE scale > 1e-6), 1.0) END, 6) AS scale FROM s""")
 def median_mad(spark, sf):
@@ -209,15 +196,6 @@ def pg_top_fraction(spark, sf):
     return scoring.top_fraction(_scores(spark, sf), "logical_day").select("logical_day", "node_uuid", "rank")
 
 
-@query(f"""{ALL_SCORES}, lab AS (SELECT DISTINCT md5('u' || doc_id) AS node_uuid FROM labels WHERE toxic = 1), n AS (SELECT node_uuid, max(score) AS score, bool_or(score >= 2) AS candidate FROM scores GROUP BY node_uuid),
-j AS (SELECT n.*, lab.node_uuid IS NOT NULL AS label, row_number() OVER (ORDER BY score DESC, n.node_uuid) AS rank FROM n LEFT JOIN lab ON lab.node_uuid = n.node_uuid), l AS (SELECT count(*) AS labels FROM lab)
-SELECT count(*) AS nodes, count_if(candidate) AS candidates, any_value(labels) AS labels, count_if(candidate AND label) AS covered, round(count_if(candidate AND label) / greatest(count_if(candidate), 1), 6) AS precision, round(count_if(candidate AND label) / greatest(any_value(labels), 1), 6) AS recall,
-round(count_if(label AND rank <= 10) / greatest(any_value(labels), 1), 6) AS recall_at_10, round(count_if(label AND rank <= 50) / greatest(any_value(labels), 1), 6) AS recall_at_50, round(count_if(label AND rank <= 100) / greatest(any_value(labels), 1), 6) AS recall_at_100 FROM j, l""")
-def detector_eval(spark, sf):
-    labels = table(spark, sf, "labels").where("toxic = 1").select(F.md5(F.concat(F.lit("u"), F.col("doc_id").cast("string"))).alias("node_uuid"))
-    return scoring.evaluate(_scores(spark, sf).withColumn("is_candidate", F.col("score") >= 2), labels)
-
-
 @query(f"{FMG} SELECT format('day{{:02d}}', logical_day) AS pg_id, node_uuid, f[1] AS first_ns, f[2] AS first_evidence, l[1] AS last_ns, l[2] AS last_evidence FROM occ")
 def occurrences(spark, sf):
     return fmg.occurrences(_fmg(spark, sf)[1])
@@ -233,14 +211,9 @@ def fmg_witnesses(spark, sf):
     return fmg.indexed(_fmg(spark, sf)[2])
 
 
-@query(f"{FMG} SELECT community_id, count(*) AS node_count FROM member GROUP BY community_id")
-def community_rollup(spark, sf):
-    return _fmg(spark, sf)[0].groupBy("community_id").agg(F.count(F.lit(1)).alias("node_count"))
-
-
-@query(f"""{FMG}, r AS (SELECT *, CASE evidence_semantics WHEN 'causal' THEN 1 ELSE 0 END AS c FROM rel), p AS (SELECT a.src_community_id AS left_id, a.dst_community_id AS middle_id, b.dst_community_id AS right_id, a.fmg_edge_id AS first_edge, b.fmg_edge_id AS second_edge, a.c + b.c AS k FROM r a JOIN r b ON b.src_community_id = a.dst_community_id
+@query(f"""{FMG}, r AS (SELECT *, CASE evidence_semantics WHEN 'causal_event' THEN 1 ELSE 0 END AS c FROM rel), p AS (SELECT a.src_community_id AS left_id, a.dst_community_id AS middle_id, b.dst_community_id AS right_id, a.fmg_edge_id AS first_edge, b.fmg_edge_id AS second_edge, a.c + b.c AS k FROM r a JOIN r b ON b.src_community_id = a.dst_community_id
 WHERE a.src_community_id <> b.dst_community_id AND NOT EXISTS (SELECT 1 FROM rel x WHERE x.src_community_id = a.src_community_id AND x.dst_community_id = b.dst_community_id)), n AS (SELECT *, row_number() OVER (PARTITION BY left_id, right_id ORDER BY k DESC, middle_id, first_edge, second_edge) AS rank FROM p)
-SELECT left_id, middle_id, right_id, first_edge, second_edge, CASE k WHEN 2 THEN 'causal_path' WHEN 1 THEN 'mixed_path' ELSE 'identity_only_path' END AS path_class, rank FROM n WHERE rank <= 3""")
+SELECT left_id, middle_id, right_id, first_edge, second_edge, CASE k WHEN 2 THEN 'causal_path' WHEN 1 THEN 'mixed_path' ELSE 'identity_only' END AS path_class, rank FROM n WHERE rank <= 3""")
 def bridge_candidates(spark, sf):
     """As its SQL: the first three of each pair of ends. bridge_retrieval has all."""
     return fmg.bridges(fmg.relations(_fmg(spark, sf)[2])).where("rank <= 3")
@@ -255,42 +228,6 @@ def bridge_retrieval(spark, sf):
     return fmg.bridges(fmg.relations(witness), communities, witness=witness)
 
 
-@query(f"{FMG}, n AS (SELECT src_community_id, dst_community_id, fmg_edge_id, row_number() OVER (PARTITION BY src_community_id ORDER BY CASE evidence_semantics WHEN 'causal' THEN 0 ELSE 1 END, first_witness_ns, dst_community_id, fmg_edge_id) AS rank FROM rel) SELECT * FROM n WHERE rank <= 3")
-def forward_neighborhood(spark, sf):
-    return fmg.forward_neighborhood(fmg.relations(_fmg(spark, sf)[2]))
-
-
-@query("""WITH t AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(source), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS b FROM documents), s AS (SELECT id, 4 * len(list_intersect(a, ['the', 'thing', 'src3'])) + len(list_intersect(b, ['the', 'thing', 'src3'])) AS score FROM t)
-SELECT id, CAST(score AS BIGINT) AS score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 5""")
-def technique_search(spark, sf):
-    return term_search(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name"), F.col("text").alias("body")), "The thing, src3")
-
-
-@query(f"""{WITH}, i AS (SELECT subject_uuid AS entity, timestamp_ns AS t0, event_uuid AS evidence_id FROM e WHERE event_type = 'EVENT_READ'), c AS (SELECT entity, evidence_id, min(timestamp_ns) AS callback_ns FROM i JOIN e ON subject_uuid = entity AND event_type = 'EVENT_SENDTO' AND timestamp_ns BETWEEN t0 AND t0 + {24 * HOUR} GROUP BY ALL),
-w AS (SELECT a.subject_uuid AS entity, a.timestamp_ns AS w, min(b.timestamp_ns) AS x FROM e a JOIN e b ON b.subject_uuid = a.subject_uuid AND a.event_type = 'EVENT_WRITE' AND b.event_type = 'EVENT_EXECUTE' AND b.timestamp_ns BETWEEN a.timestamp_ns AND a.timestamp_ns + {24 * HOUR} GROUP BY ALL),
-p AS (SELECT i.entity, evidence_id, min(w) AS w, arg_min(x, w) AS x FROM i JOIN w ON w.entity = i.entity AND w BETWEEN t0 AND t0 + {24 * HOUR} GROUP BY ALL), r AS (SELECT i.*, callback_ns, w, x, CASE WHEN callback_ns IS NOT NULL AND w IS NOT NULL THEN 3 WHEN callback_ns IS NOT NULL THEN 2 ELSE 1 END AS rank FROM i LEFT JOIN c USING (entity, evidence_id) LEFT JOIN p USING (entity, evidence_id)),
-n AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY rank DESC, t0, evidence_id DESC) AS o FROM r) SELECT entity, CASE rank WHEN 3 THEN 'supported' WHEN 2 THEN 'probable' ELSE 'attempted' END AS status, evidence_id, callback_ns, w AS write_ns, x AS execute_ns FROM n WHERE o = 1""")
-def ic_horizon(spark, sf):
-    ev = events(spark, sf).select(F.col("subject_uuid").alias("entity"), "timestamp_ns", F.col("event_uuid").alias("evidence_id"), "event_type")
-    kind = lambda t: ev.where(F.col("event_type") == t)
-    return control.ingress_patterns(kind("EVENT_READ"), kind("EVENT_SENDTO"), kind("EVENT_WRITE"), kind("EVENT_EXECUTE"), 24 * HOUR)
-
-
-@query("""SELECT o_orderkey AS state_id, CASE WHEN v IS NULL AND c IS NULL AND n IS NULL THEN 'stop' WHEN o_custkey % 5 = 0 THEN 'stop_budget' WHEN v IS NOT NULL THEN 'validate' WHEN c IS NOT NULL THEN 'retrieve_bridge' WHEN o_custkey % 2 = 0 THEN 'expand_left' ELSE 'stop_incomplete' END AS action,
-CASE WHEN v IS NULL AND c IS NULL AND n IS NULL THEN NULL WHEN o_custkey % 5 = 0 THEN coalesce(c, n, v) ELSE coalesce(v, c, n) END AS item
-FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'v' || o_orderkey END AS v, CASE WHEN o_orderkey % 4 = 0 THEN 'c' || o_orderkey END AS c, CASE WHEN o_orderkey % 5 = 0 THEN 'n' || o_orderkey END AS n FROM orders)""")
-def decide_v7(spark, sf):
-    o = table(spark, sf, "orders")
-    item = lambda k, name: F.when(F.col("o_orderkey") % k == 0, F.concat(F.lit(name), F.col("o_orderkey"))).alias
-    return control.decide(o.select(F.col("o_orderkey").alias("state_id"), item(3, "v")("open_validation"), item(4, "c")("open_connectivity"), item(5, "n")("open_entry"), (F.col("o_custkey") % 2 == 0).alias("left_open"), F.lit(False).alias("right_open"), (F.col("o_custkey") % 5).alias("remaining")))
-
-
-@query("""WITH s AS (SELECT *, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS nxt FROM lineitem), g AS (SELECT l_orderkey AS path_id, bool_and(nxt IS NULL OR nxt % 2 = l_suppkey % 2) AS connected, bool_and(l_quantity > 5) AS witnessed, bool_and(l_returnflag <> 'R') AS causal FROM s GROUP BY l_orderkey) SELECT *, connected AND witnessed AND causal AS valid FROM g""")
-def path_validation(spark, sf):
-    li = table(spark, sf, "lineitem")
-    return control.path_validation(li.select(F.col("l_orderkey").alias("path_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("position"), (F.col("l_partkey") % 2).alias("src"), (F.col("l_suppkey") % 2).alias("dst"), F.when(F.col("l_returnflag") != "R", "causal").otherwise("identity_continuity").alias("semantics"), F.when(F.col("l_quantity") > 5, 1).otherwise(0).alias("witnesses")))
-
-
 @query("SELECT epoch_us(time_bucket(INTERVAL 30 MINUTES, ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY ALL")
 def tumbling_30m(spark, sf):
     """The batch form of the streaming query."""
@@ -299,27 +236,6 @@ def tumbling_30m(spark, sf):
     return tumbling_counts(table(spark, sf, "events")).select(F.unix_micros("start").alias("start_us"), "event_type", F.col("count").alias("n"))
 
 
-def _context(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Compressed edges, anchors (q of 0.99 or more) and scores of whole days."""
-    q = _day(_percentiles(spark, sf)).select("pg_id", "node_uuid", "q")
-    return graph.compress(graph.edges(_day(events(spark, sf))), "pg_id"), q.where("q >= 0.99").select("pg_id", "node_uuid"), q
-
-
-@query()
-def bounded_search(spark, sf):
-    return traversal.bounded_search(*_context(spark, sf)[:2])
-
-
-@query()
-def neighbor_cover(spark, sf):
-    return traversal.neighbor_cover(*_context(spark, sf))
-
-
-@query()
-def bounded_context(spark, sf):
-    return traversal.bounded_context(*_context(spark, sf))
-
-
 @query("""WITH d AS (SELECT o_orderpriority AS dataset, o_custkey % 97 AS depth, count(*) AS n FROM orders GROUP BY ALL), c AS (SELECT a.dataset, a.depth AS k, sum(b.n * abs(a.depth - b.depth)) / sum(b.n) AS m FROM d a JOIN d b USING (dataset) GROUP BY ALL)
 SELECT dataset, CAST(k AS BIGINT) AS k, round(m, 6) AS mean_distance FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY m, k) AS o FROM c) WHERE o = 1""")
 def fixed_depth(spark, sf):
@@ -348,15 +264,3 @@ def calibrated_residuals(spark, sf):
     return residual.calibrated(li.where(old), li, residual.shrinkage_models(li.where(old), n_min=128, pooled=True)).select("l_orderkey", "l_linenumber", F.round("score", 6).alias("score"), "q")
 
 
-@query("""WITH s AS (SELECT o_orderkey AS state_id, CASE o_orderkey % 4 WHEN 0 THEN 'supported' WHEN 1 THEN 'probable' WHEN 2 THEN 'absent' ELSE 'conflicted' END AS st, o_custkey % 6 AS r, o_custkey % 2 = 0 AS l, o_custkey % 3 = 0 AS g, o_custkey % 5 = 0 AS h FROM orders),
-i AS (SELECT l_orderkey AS state_id, l_linenumber AS item, CASE l_partkey % 3 WHEN 0 THEN 'connectivity' WHEN 1 THEN 'left_time' ELSE 'competition' END AS k FROM lineitem WHERE l_returnflag = 'R'),
-f AS (SELECT state_id, min(item) AS a, min(item) FILTER (k = 'connectivity') AS c, min(item) FILTER (k = 'left_time') AS t, min(item) FILTER (k = 'competition') AS p FROM i GROUP BY 1), j AS (SELECT * FROM s LEFT JOIN f USING (state_id))
-SELECT state_id, CASE WHEN a IS NULL AND st = 'supported' THEN 'stop_complete' WHEN r <= 0 THEN 'stop_limited' WHEN st = 'conflicted' THEN 'verify_claim' WHEN c IS NOT NULL THEN 'retrieve_bridge' WHEN st = 'absent' THEN CASE WHEN l THEN 'extend_left' WHEN h THEN 'extend_host' ELSE 'stop_limited' END
-WHEN st = 'probable' THEN CASE WHEN g THEN 'extend_right' ELSE 'stop_limited' END WHEN t IS NOT NULL THEN CASE WHEN l THEN 'extend_left' ELSE 'stop_limited' END ELSE 'verify_claim' END AS action,
-CAST(CASE WHEN a IS NULL AND st = 'supported' THEN NULL WHEN r <= 0 THEN a WHEN st = 'conflicted' THEN NULL WHEN c IS NOT NULL THEN c WHEN st IN ('absent', 'probable') THEN NULL ELSE coalesce(t, p) END AS VARCHAR) AS item_id FROM j""")
-def next_action(spark, sf):
-    st, r = F.col("o_orderkey") % 4, F.col("o_custkey")
-    states = table(spark, sf, "orders").select(F.col("o_orderkey").alias("state_id"), F.when(st == 0, "supported").when(st == 1, "probable").when(st == 2, "absent").otherwise("conflicted").alias("ic_status"), (r % 6).alias("remaining"), (r % 2 == 0).alias("can_left"), (r % 3 == 0).alias("can_right"), (r % 5 == 0).alias("can_host"))
-    k = F.col("l_partkey") % 3
-    items = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("state_id"), F.col("l_linenumber").cast("string").alias("item_id"), F.when(k == 0, "connectivity").when(k == 1, "left_time").otherwise("competition").alias("gap_type"), F.lit("open").alias("status"), F.lit(True).alias("critical"), F.lit("left").alias("direction"), F.lit("asked").alias("reason"))
-    return control.next_action(states, items).select("state_id", "action", "item_id")

@@ -36,7 +36,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = _lookup(TYPES, F.col("event_type"))
     return raw.select(
         F.md5(F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("event_uuid"), ns.alias("timestamp_ns"), kind.alias("event_type"), F.coalesce(_lookup(DIRECTIONS, kind), F.lit("structural")).alias("flow_direction"),
-        F.md5(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("subject_uuid"), F.md5(F.concat(F.lit("o"), k.cast("string"))).alias("predicate_uuid"),
+        F.md5(F.concat(F.lit("h"), (F.col("user_id") % 5).cast("string"))).alias("host_uuid"), F.md5(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("subject_uuid"), F.md5(F.concat(F.lit("o"), k.cast("string"))).alias("predicate_uuid"),
         F.when(F.col("event_id") % 10 == 0, F.md5(F.concat(F.lit("o"), ((k * 7 + 3) % 100).cast("string")))).alias("predicate2_uuid"),
         day.alias("logical_day"), phase_of(day).alias("phase"), (F.col("event_id") + 1).alias("raw_line"), (F.col("event_id") * 100).alias("raw_offset"),
     )
@@ -56,17 +56,17 @@ ev AS (
   SELECT md5('e' || event_id) AS event_uuid, epoch_us(ts) * 1000 AS timestamp_ns,
     CASE event_type WHEN 'view' THEN 'EVENT_READ' WHEN 'click' THEN 'EVENT_WRITE' WHEN 'error' THEN 'EVENT_EXECUTE' WHEN 'purchase' THEN 'EVENT_SENDTO' WHEN 'signup' THEN 'EVENT_FORK' END AS event_type,
     CASE WHEN event_type IN ('view', 'error') THEN 'object_to_subject' WHEN event_type IN ('click', 'purchase') THEN 'subject_to_object' WHEN event_type = 'signup' THEN 'process_relation' ELSE 'structural' END AS flow_direction,
-    md5('u' || user_id) AS subject_uuid, md5('o' || k) AS predicate_uuid, CASE WHEN event_id % 10 = 0 THEN md5('o' || ((k * 7 + 3) % 100)) END AS predicate2_uuid,
+    md5('h' || (user_id % 5)) AS host_uuid, md5('u' || user_id) AS subject_uuid, md5('o' || k) AS predicate_uuid, CASE WHEN event_id % 10 = 0 THEN md5('o' || ((k * 7 + 3) % 100)) END AS predicate2_uuid,
     CAST((epoch_us(ts) * 1000 - {FIRST_DAY_NS}) // {DAY_NS} + 1 AS INT) AS logical_day, event_id + 1 AS raw_line, event_id * 100 AS raw_offset
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
 ), e AS (
   SELECT *, CASE WHEN logical_day <= 12 THEN 'fit' WHEN logical_day <= 18 THEN 'calibration' WHEN logical_day <= 21 THEN 'development' WHEN logical_day <= 27 THEN 'context' WHEN logical_day <= 30 THEN 'locked_test' END AS phase FROM ev
 ), edges AS (
   SELECT * FROM (
-    SELECT event_uuid, timestamp_ns, event_type, flow_direction, logical_day, phase, raw_line, raw_offset, i AS predicate_index, subject_uuid, CASE i WHEN 0 THEN predicate_uuid ELSE predicate2_uuid END AS object_uuid,
-      CASE WHEN flow_direction = 'object_to_subject' THEN CASE i WHEN 0 THEN predicate_uuid ELSE predicate2_uuid END ELSE subject_uuid END AS src_uuid,
-      CASE WHEN flow_direction = 'object_to_subject' THEN subject_uuid ELSE CASE i WHEN 0 THEN predicate_uuid ELSE predicate2_uuid END END AS dst_uuid
-    FROM e, (VALUES (0), (1)) AS v(i)) WHERE object_uuid IS NOT NULL AND subject_uuid IS NOT NULL
+    SELECT event_uuid, timestamp_ns, event_type, flow_direction, logical_day, phase, raw_line, raw_offset, i AS predicate_index, subject_uuid, CASE i WHEN 1 THEN predicate_uuid ELSE predicate2_uuid END AS object_uuid,
+      CASE WHEN flow_direction = 'object_to_subject' THEN CASE i WHEN 1 THEN predicate_uuid ELSE predicate2_uuid END ELSE subject_uuid END AS src_uuid,
+      CASE WHEN flow_direction = 'object_to_subject' THEN subject_uuid ELSE CASE i WHEN 1 THEN predicate_uuid ELSE predicate2_uuid END END AS dst_uuid
+    FROM e, (VALUES (1), (2)) AS v(i)) WHERE object_uuid IS NOT NULL AND subject_uuid IS NOT NULL
 )"""
 SQL_NODES = """
 defs AS (

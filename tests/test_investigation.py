@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -29,6 +30,8 @@ def test_breadth_first(spark):
 def test_neighbours_first(spark):
     got = traversal.neighbor_cover(edges(spark, GRAPH), seeds(spark, ["W"]), hops=2).orderBy("position").collect()
     assert [r.first_timestamp_ns for r in got] == [2, 3, 4, 1, 5, 6]
+    few = traversal.neighbor_cover(edges(spark, GRAPH), seeds(spark, ["W"]), hops=2, budget=5).orderBy("position").collect()
+    assert [r.first_timestamp_ns for r in few] == [2, 3, 4, 1, 5]  # the search that fills is cut at five edges as well
 
 
 def test_context(spark):
@@ -90,13 +93,30 @@ def test_shrinkage_against_its_definition(spark):
 def test_scope_assessment(spark):
     ent = spark.createDataFrame([("x", "NET_FLOW", True, 80), ("p", "SUBJECT_PROCESS", False, None), ("f", "FILE_OBJECT_FILE", False, None), ("q", "SUBJECT_PROCESS", False, None)], "entity_id string, entity_type string, external boolean, local_port int")
     full = [("x", "p", "EVENT_ACCEPT", 1), ("p", "x", "EVENT_SENDTO", 2), ("p", "f", "EVENT_WRITE", 3), ("f", "q", "EVENT_EXECUTE", 4)]
-    cases = {"full": full, "entry": full[:1], "part": full[:2], "none": full[1:], "odd": [*full, ("x", "ghost", "EVENT_ACCEPT", 9)], "late": [full[0], ("p", "f", "EVENT_WRITE", 5), full[3]]}
+    cases = {"full": full, "entry": full[:1], "part": full[:2], "none": full[1:], "odd": [*full, ("x", "ghost", "EVENT_ACCEPT", 9)], "late": [full[0], ("p", "f", "EVENT_WRITE", 5), full[3]], "effect": [full[0], *full[2:]]}
     a = spark.createDataFrame([(k, s, d, t, ts, f"{k}{ts}", "c") for k, v in cases.items() for s, d, t, ts in v], "scope_id string, src string, dst string, event_type string, timestamp_ns long, evidence_id string, community_id string")
-    got = {r.scope_id: r for r in control.scope_assessment(a, ent).collect()}
-    assert {k: r.status for k, r in got.items()} == {"full": "supported", "entry": "attempted", "part": "probable", "none": "absent", "odd": "conflicted", "late": "attempted"}
+    got = {r.scope_id: r for r in control.assessment(a, ent).collect()}
+    assert {k: r.status for k, r in got.items()} == {"full": "supported", "entry": "attempted", "part": "probable", "none": "absent", "odd": "conflicted", "late": "attempted", "effect": "probable"}
     assert got["full"].first_local_subject_id == "q" and got["full"].evidence_ids == ["full1", "full2", "full3", "full4"] and got["odd"].evidence_ids == ["odd9"] and got["none"].evidence_ids == []
 
 
+    near = {r.scope_id: r for r in control.assessment(a, ent, callback_ns=1, effect_ns=3).collect()}
+    assert near["full"].status == "supported" and near["full"].reason_codes == ["boundary_ingress_callback_and_local_effect"]
+    far = {r.scope_id: r.status for r in control.assessment(a, ent, callback_ns=0, effect_ns=2).collect()}
+    assert far["full"] == "attempted" and far["effect"] == "attempted"
+    payload = '{"entry_subject_id":"p","evidence_ids":["full1","full2","full3","full4"],"status":"supported"}'
+    assert got["full"].assessment_id == "ic-" + hashlib.sha256(payload.encode()).hexdigest()[:20]
+
+
+def test_horizons_skip_a_write_that_is_run_too_late(spark):
+    ent = spark.createDataFrame([("x", "NET_FLOW", True, 80), ("p", "SUBJECT_PROCESS", False, None), ("f", "FILE_OBJECT_FILE", False, None), ("g", "FILE_OBJECT_DIR", False, None), ("q", "SUBJECT_PROCESS", False, None)], "entity_id string, entity_type string, external boolean, local_port int")
+    rows = [("x", "p", "EVENT_ACCEPT", 1), ("p", "f", "EVENT_WRITE", 2), ("p", "g", "EVENT_WRITE", 3), ("g", "q", "EVENT_EXECUTE", 5), ("f", "q", "EVENT_EXECUTE", 99), ("x", "p", "EVENT_RECVMSG", 1)]
+    a = spark.createDataFrame([("s", s, d, t, ts, f"{t[6]}{ts}", "c") for s, d, t, ts in rows], "scope_id string, src string, dst string, event_type string, timestamp_ns long, evidence_id string, community_id string")
+    (near,) = control.assessment(a, ent, callback_ns=10, effect_ns=10).collect()
+    (any_time,) = control.assessment(a, ent).collect()
+    assert near.evidence_ids == ["E5", "R1", "W3"] and any_time.evidence_ids == ["A1", "E99", "W2"]
+
+
 def test_stitch_chain(spark):
     s = spark.createDataFrame([("p", 1, "a", "identity_continuity", ["x", "y"]), ("p", 2, "b", "causal", ["q"]), ("p", 3, "c", "identity_continuity", ["z"]), ("p", 4, "d", "identity_continuity", ["y"]), ("p", 5, "e", "identity_continuity", None)], "path_id string, position int, edge_id string, semantics string, entities array<string>")
     start = spark.createDataFrame([("p", ["x"]), ("empty", ["x"])], "path_id string, entities array<string>")

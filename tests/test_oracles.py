@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from provloom.plans import registry
+from provloom.plans import casework as plans
 
 DATA = "/root/testdata/sf0.001"
 
@@ -23,16 +23,16 @@ def rows(frame):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("customer", "orders", "lineitem", "events", "documents", "labels", "benchmark"):
+    for t in ("customer", "orders", "lineitem", "events", "documents", "labels", "benchmark", "part", "supplier"):
         con.sql(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     return con
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
 def test_oracle(spark, duck, name):
     import pandas as pd
 
-    want = duck.sql(registry.oracle_sql()[name])
-    got = registry.queries()[name](spark, DATA)
+    want = duck.sql(plans.oracle_sql()[name])
+    got = plans.queries()[name](spark, DATA)
     got = pd.DataFrame([tuple(r) for r in got.collect()], columns=got.columns)
     assert rows(got) == rows(pd.DataFrame(want.fetchall(), columns=want.columns))
