@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 from .common import arrow_map, batch, stored
 
 BLOCK_BYTES = 8_000_000
-#: Numbers that one range takes (about), and the least number of ranges.
+#: Numbers that one range takes (about), and the least number of ranges. From GROWTH numbers on (30 GB of text) ranges grow with the
+#: square root of all, up to MOST_NUMBERS, so that messages stay longer as blocks become more.
 RANGE_NUMBERS = 1_500_000
 LEAST_RANGES = 64
+GROWTH = 5_000_000_000
+MOST_NUMBERS = 12_000_000
 
 
 def dump(table: pa.Table) -> bytes:
@@ -96,7 +99,8 @@ def unpack_bits(b: bytes, n: int) -> np.ndarray:
 
 def ranges_for(numbers: int) -> int:
     """A power of two."""
-    return 1 << max(LEAST_RANGES - 1, -(-numbers // RANGE_NUMBERS) - 1).bit_length()
+    each = min(MOST_NUMBERS, int(RANGE_NUMBERS * max(1.0, numbers / GROWTH) ** 0.5))
+    return 1 << max(LEAST_RANGES - 1, -(-numbers // each) - 1).bit_length()
 
 
 def bits_for(numbers: int) -> int:

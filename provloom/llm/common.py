@@ -6,6 +6,7 @@ import atexit
 import logging
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -56,9 +57,35 @@ def stored(df: DataFrame, rows_a_file: int | None = None) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(to)
     out.stored_at = to
     atexit.register(_delete, spark, to)
+    for made in _open:
+        made.append(to)
     return out
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at the end, but for those whose `stored_at` has been taken out by keep()."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        for to in made:
+            _delete(spark, to)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """A stored table that outlives the scratch() it was stored in."""
+    for made in _open:
+        if df.stored_at in made:
+            made.remove(df.stored_at)
+    return df
+
+
 def discard(df: DataFrame) -> None:
     """Delete a stored table that no later step reads."""
     _delete(df.sparkSession, df.stored_at)
