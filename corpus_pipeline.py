@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provloom.llm import exact_dedup, packing, simhash, substring_dedup, toxicity
-from provloom.llm.common import stored, table
+from provloom.llm.common import discard, keep, scratch, stored, table
 from provloom.llm.queries import split_pattern, vocabulary
 
 #: Words of a repeated passage that goes.
@@ -46,14 +46,17 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic_out), ("exact_dedup", exact_copies_out), ("near_dedup", near_copies_out), ("substring_dedup", repeats_out), ("packing", packed)]
 
-#: Learned scores, fingerprints and tokens are beyond SQL; each stage is tested against a plain version.
+#: Learned scores, fingerprints and tokens are beyond SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's tables are freed as soon as its result is stored."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        was = docs
+        with scratch(spark):
+            docs = keep(stored(stage(spark, was, sf_dir)))
+        if hasattr(was, "stored_at"):
+            discard(was)
+    return STAGES[-1][1](spark, docs, sf_dir)
