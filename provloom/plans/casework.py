@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import agents, communities, control, features, fmg, graph, incremental
+from ..operators.shared import settled
 from ..sources.adapter import DAY_NS, FIRST_DAY_NS, events, node_definitions, table
 from .nodes import LEAF_ROWS, LEAVES, TYPE_ID, leaf_features, leaves
 from .registry import ALL_SCORES, FMG, HOUR, PERCENTILE, WITH, _day, _fmg, _percentiles, query
@@ -30,7 +31,7 @@ LEAF_FMG = f"""{LEAVES}, {LEAF_ROWS}, lm AS (SELECT pg_id, node_uuid, format('d{
 @query(f"{LABELS} SELECT pg_id, node_uuid, community_id FROM lm")
 def connected_communities(spark, sf):
     nodes, comp = leaf_features(spark, sf)
-    nodes = nodes.select("pg_id", "node_uuid", "logical_day")
+    nodes = settled(nodes.select("pg_id", "node_uuid", "logical_day"))
     return communities.labelled(nodes, communities.connected(nodes, comp)).select("pg_id", "node_uuid", "community_id")
 
 

@@ -36,6 +36,7 @@ def leaves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     """Events with their interval, the intervals, and touches and edges of those events."""
     ev = events(spark, sf)
     pgs = graph.bisect(ev)
+    pgs = settled(pgs)  # a row an interval, which five parts of a plan read
     placed = graph.assign(ev, pgs)
     return placed, pgs, graph.touches(placed, *features.SCOPE), graph.edges(placed)
 
@@ -81,7 +82,7 @@ def signatures(spark, sf):
 
 
 def _robust(spark: SparkSession, sf: str) -> DataFrame:
-    s = features.signatures(*leaf_features(spark, sf)).select("pg_id", "node_uuid", "logical_day", F.col("target").alias("residual"))
+    s = settled(features.signatures(*leaf_features(spark, sf)).select("pg_id", "node_uuid", "logical_day", F.col("target").alias("residual")))
     return features.robust_scores(s.where("logical_day > 18"), features.residual_calibration(s.where("logical_day between 13 and 18")))
 
 
