@@ -58,6 +58,13 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(words) if words else np.zeros(0, np.uint64)), counts
 
 
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which numbers of x are in `known`, which is sorted: a search for each, so that many small x cost no more than one large."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = max(0, len(words) - k + 1)
     h = np.zeros(n, np.uint64)
@@ -133,7 +140,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, texts: bool = False, id_col
         each = [B.decode(x) for x in numbers]
         every = np.sort(np.concatenate(each))
         again = every[1:][every[1:] == every[:-1]]
-        return [B.pack_bits(np.isin(x, again, kind="sort") | B.unpack_bits(e, len(x))) if len(again) else B.pack_bits(B.unpack_bits(e, len(x))) for x, e in zip(each, extra, strict=True)]
+        return [B.pack_bits(among(x, again) | B.unpack_bits(e, len(x))) for x, e in zip(each, extra, strict=True)]
 
     flags = B.answered(arrow_map(stored_blocks.select("block", "payload"), ask_edges, "range int, block long, numbers binary, extra binary"), repeated)
 
@@ -144,7 +151,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, texts: bool = False, id_col
     def runs_of(words: np.ndarray, counts: np.ndarray, hot: np.ndarray):
         """Places of hot windows, and whether each goes on from the one before it."""
         h, at = window_hashes(words, counts, bits, k)
-        on = np.isin(h, hot, kind="sort") if len(hot) else np.zeros(len(h), bool)
+        on = among(h, hot)
         h, at = h[on], at[on]
         doc = np.repeat(np.arange(len(counts)), counts)
         follows = np.concatenate([[False], (at[1:] == at[:-1] + 1) & (doc[at[1:]] == doc[at[:-1]])]) if len(at) else np.zeros(0, bool)
@@ -208,7 +215,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, texts: bool = False, id_col
         spot = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         low, high = np.minimum.reduceat(both[order], spot), np.maximum.reduceat(both[order], spot)
         bad = s[spot][(low != high) | (low == 0)]
-        return [B.pack_bits(np.isin(x, bad, kind="sort") if len(bad) else np.zeros(len(x), bool)) for x in each]
+        return [B.pack_bits(among(x, bad)) for x in each]
 
     node_answers = B.answered(second.where("numbers is not null"), cuts)
     third_schema = pa.schema([("block", pa.int64()), ("payload", pa.binary()), ("path", pa.string()), ("first", pa.int64())])
@@ -221,7 +228,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, texts: bool = False, id_col
         h, at, follows, doc = runs_of(words, counts, hot)
         cut = flagged_of(np.unique(nodes_of(words, h, at, follows)[0]), got)
         nodes = gram_hashes(words, k - 1) >> np.uint64(64 - bits)
-        begins = ~follows | (np.isin(nodes[at], cut, kind="sort") if len(cut) else False)
+        begins = ~follows | among(nodes[at], cut)
         spot = np.flatnonzero(begins)
         length = np.diff(np.append(spot, len(at))) + k - 1  # in words
         base = np.cumsum(counts) - counts
