@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from .common import arrow_map, batch, by_bytes, id_and_text, rows_of
 from .tokens import BATCH_BYTES, chunks_of, read_ranks
 
-#: Pieces, chunks and pairs of tokens that a worker remembers.
-MEMO = 200_000
+#: Pieces, chunks and pairs of tokens that a worker remembers (about 400 bytes each).
+MEMO = 600_000
 
 
 class Vocabulary:
