@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scoring import empirical_percentile
+from .shared import settled
 
 #: Key of the model over all types.
 POOLED = -1
@@ -115,5 +116,6 @@ def calibrated(reference: DataFrame, rows: DataFrame, models: dict[int, dict], t
     ref = reference.withColumn("_key", F.lit(POOLED))
     if own:
         ref = ref.unionByName(reference.where(F.col(type_col).isin(own)).withColumn("_key", F.col(type_col).cast("int")))
-    scored = quadratic_scores(ref, models, "_key", vec_col).select("_key", "score")
-    return empirical_percentile(scored, quadratic_scores(rows.withColumn("_key", key), models, "_key", vec_col), "_key").drop("_key")
+    scored = settled(quadratic_scores(ref, models, "_key", vec_col).select("_key", "score"))
+    asked = settled(quadratic_scores(rows.withColumn("_key", key), models, "_key", vec_col))  # scored once, read several times
+    return empirical_percentile(scored, asked, "_key").drop("_key")

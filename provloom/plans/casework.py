@@ -81,8 +81,8 @@ def unknown_members(spark, sf):
 @query(f"{FMG} SELECT * FROM rel")
 def incremental_fmg(spark, sf):
     """The memory graph of whole days, inserted in three parts: the last days, then the first, then those between."""
-    member, _, _ = _fmg(spark, sf)
-    witness = fmg.witnesses(graph.compress(graph.edges(_day(events(spark, sf))), "pg_id", "logical_day"))
+    member = settled(_fmg(spark, sf)[0])
+    witness = settled(fmg.witnesses(graph.compress(graph.edges(_day(events(spark, sf))), "pg_id", "logical_day")))
     start = (F.col("logical_day") - 1).cast("long") * DAY_NS + FIRST_DAY_NS
     state = None
     for part in ("logical_day > 20", "logical_day <= 8", "logical_day between 9 and 20"):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, features, fmg, graph, residual, scoring
+from ..operators.shared import settled
 from ..sources import adapter
 from ..sources.adapter import DAY_NS, FIRST_DAY_NS, SQL_EVENTS, SQL_NODES, events, node_definitions, table
 
@@ -86,7 +87,7 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    s = _scores(spark, sf)
+    s = settled(_scores(spark, sf))  # reference and rows, read several times
     return scoring.empirical_percentile(s.where("logical_day between 13 and 18"), s.where("logical_day > 18"), "entity_type").where("q is not null")
 
 
