@@ -69,13 +69,19 @@ def assign(rows: DataFrame, leaves: DataFrame, length: int = DAY_NS, depth: int
 
 
 def node_types(definitions: DataFrame) -> DataFrame:
-    """One row a node: its first record type and first subtype that is there, in log order."""
-    c = definitions.groupBy("node_uuid").agg(F.count(F.lit(1)).alias("definition_count"), F.min_by("record_type", "raw_line").alias("r"), F.min_by("subtype", F.when(F.col("subtype").isNotNull(), F.col("raw_line"))).alias("s"))
+    """One row a node: its first record type and first subtype that is there, in log order (raw_shard, raw_line, raw_offset, as far
+    as definitions have them). Rows without a node are none; a node of two record types is an error."""
+    place = F.struct(*(c for c in ("raw_shard", "raw_line", "raw_offset") if c in definitions.columns))
+    c = definitions.where("node_uuid is not null").groupBy("node_uuid").agg(
+        F.count(F.lit(1)).alias("definition_count"), F.min_by("record_type", place).alias("r"), F.min_by("subtype", F.when(F.col("subtype").isNotNull(), place)).alias("s"),
+        F.min("record_type").alias("one"), F.max("record_type").alias("two"),
+    )
     named = F.lit("UNKNOWN")
     for k, v in RECORD_TYPES.items():
         named = F.when(F.col("r") == k, v).otherwise(named)
-    kind = F.when(F.col("s").isin(*ENTITY_TYPES), F.col("s")).otherwise(named)
-    return c.select("node_uuid", "definition_count", kind.alias("entity_type"), type_id(kind).alias("entity_type_id"))
+    conflict = F.raise_error(F.concat_ws(" ", F.lit("conflicting record types of one node:"), "one", "two")).cast("string")
+    kind = F.when(F.col("one") != F.col("two"), conflict).when(F.col("s").isin(*ENTITY_TYPES), F.col("s")).otherwise(named)
+    return c.select("node_uuid", "definition_count", kind.alias("entity_type")).withColumn("entity_type_id", type_id(F.col("entity_type")))
 
 
 def type_id(kind: Column) -> Column:

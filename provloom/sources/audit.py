@@ -21,6 +21,8 @@ TEXTS = {"type": "type", "predicateObjectPath": "predicate_path", "predicateObje
 PROPERTIES = {"exec": "exec_name", "ppid": "parent_pid", "fd": "file_descriptor", "return_value": "return_value"}
 EVENT_COLUMNS = ("event_uuid", "timestamp_ns", "sequence", "event_type", "flow_direction", "host_uuid", "subject_uuid", "predicate_uuid", "predicate2_uuid", "predicate_path", "predicate2_path", "thread_id", "size", "name", "exec_name", "parent_pid", "file_descriptor", "return_value", "logical_day", "phase", "raw_shard", "raw_line", "raw_offset")
 NODE_COLUMNS = ("node_uuid", "record_type", "subtype", "host_uuid", "parent_uuid", "principal_uuid", "start_timestamp_ns", "cid", "cmd_line", "local_address", "local_port", "remote_address", "remote_port", "username", "raw_shard", "raw_line", "raw_offset")
+#: Files up to which their table is broadcast.
+BROADCAST_FILES = 100_000
 PLACE = "source string, raw_line long, raw_offset long"
 
 
@@ -109,26 +111,30 @@ def read_record(line: str) -> dict:
         out |= {c: _integer(body.get(f)) for f, c in INTEGERS.items()} | {c: _text(body.get(f)) for f, c in TEXTS.items()}
         extra = _mapping(_mapping(body.get("properties")).get("map"))
         out |= {c: _text(extra.get(f)) for f, c in PROPERTIES.items()}
+        out["properties"] = [(k, v if isinstance(v, str) else json.dumps(v)) for k, v in ((k, bare(v)) for k, v in extra.items()) if v is not None]
         when = body.get("timestampNanos")
         return out | {"record_type": name.rsplit(".", 1)[-1], "event_host_uuid": _id(body.get("hostId")), "raw_type": str(body.get("type")), "day_ns": _integer(when) if not isinstance(when, dict) else None}
     except (ValueError, TypeError, AttributeError) as e:
         return {"error": f"{type(e).__name__}: {e}"}
 
 
-_FIELDS = [(c, pa.binary()) for c in (*IDS.values(), "event_host_uuid")] + [(c, pa.int64()) for c in (*INTEGERS.values(), "day_ns")] + [(c, pa.string()) for c in (*TEXTS.values(), *PROPERTIES.values(), "record_type", "raw_type", "error")]
-_SQL_TYPE = {pa.binary(): "binary", pa.int64(): "long", pa.string(): "string"}
+_FIELDS = [(c, pa.binary()) for c in (*IDS.values(), "event_host_uuid")] + [(c, pa.int64()) for c in (*INTEGERS.values(), "day_ns")] + [(c, pa.string()) for c in (*TEXTS.values(), *PROPERTIES.values(), "record_type", "raw_type", "error")] + [("properties", pa.map_(pa.string(), pa.string()))]
+_SQL_TYPE = {pa.binary(): "binary", pa.int64(): "long", pa.string(): "string", pa.map_(pa.string(), pa.string()): "map<string,string>"}
 
 
-def records(placed: DataFrame) -> DataFrame:
-    """lines() read as records: place, record_type, fields of all kinds, and error (null for good lines).
+def records(placed: DataFrame, text: bool = False) -> DataFrame:
+    """lines() read as records: place, record_type, fields of all kinds, all properties as a map of texts (values that are
+    no texts as JSON), and error (null for good lines). text: with the line itself (value).
     Values may be wrapped to any depth and types are strict, which no built-in reader expresses: hence Arrow batches."""
 
+    kept = ["source", "raw_line", "raw_offset"] + (["value"] if text else [])
+
     def run(batches):
         for b in batches:
             rows = [read_record(v or "") for v in b.column("value").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("source", "raw_line", "raw_offset")] + [pa.array([r.get(c) for r in rows], t) for c, t in _FIELDS], ["source", "raw_line", "raw_offset"] + [c for c, _ in _FIELDS])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array([r.get(c) for r in rows], t) for c, t in _FIELDS], kept + [c for c, _ in _FIELDS])
 
-    return placed.select("source", "raw_line", "raw_offset", "value").mapInArrow(run, ", ".join([PLACE] + [f"`{c}` {_SQL_TYPE[t]}" for c, t in _FIELDS]))
+    return placed.select("source", "raw_line", "raw_offset", "value").mapInArrow(run, ", ".join([PLACE] + ["value string"] * text + [f"`{c}` {_SQL_TYPE[t]}" for c, t in _FIELDS]))
 
 
 def day_bounds(first: int, last: int, utc_offset_hours: int, year: int = 2018, month: int = 4) -> tuple[int, int]:
@@ -137,9 +143,9 @@ def day_bounds(first: int, last: int, utc_offset_hours: int, year: int = 2018, m
     return tuple(int(x.timestamp()) * 1_000_000_000 for x in (start, start + timedelta(days=last - first + 1)))
 
 
-def logical_day(ns: Column, first: int, last: int, utc_offset_hours: int, **month) -> Column:
+def logical_day(ns: Column, first: int, last: int, utc_offset_hours: int, year: int = 2018, month: int = 4) -> Column:
     """Day of the month at a fixed offset; null outside first to last."""
-    start, end = day_bounds(first, last, utc_offset_hours, **month)
+    start, end = day_bounds(first, last, utc_offset_hours, year, month)
     return F.when((ns >= start) & (ns < end), F.floor((ns - F.lit(start)) / F.lit(86_400_000_000_000)).cast("int") + first)
 
 
@@ -157,8 +163,8 @@ def _case(key: Column, mapping: dict, default=None) -> Column:
     return reduce(lambda out, kv: F.when(key == kv[0], F.lit(kv[1])).otherwise(out), mapping.items(), F.lit(default).cast("string"))
 
 
-def event_rows(read: DataFrame, directions: dict[str, list[str]], phases: dict[str, list[int]], days: tuple[int, int, int], default: str = "structural") -> DataFrame:
-    """The event table from records() with a raw_shard. days: first, last, UTC offset in hours."""
+def event_rows(read: DataFrame, directions: dict[str, list[str]], phases: dict[str, list[int]], days: tuple[int, ...], default: str = "structural") -> DataFrame:
+    """The event table from records() with a raw_shard. days: first, last, UTC offset in hours, and year and month."""
     day = logical_day(F.col("day_ns"), *days)
     out = read.where("record_type = 'Event'").withColumns({"event_uuid": F.col("uuid"), "event_type": F.col("type"), "host_uuid": F.col("event_host_uuid"), "logical_day": day, "flow_direction": _case(F.col("raw_type"), one_each(directions, "event type"), default)})
     return out.withColumn("phase", _case(F.col("logical_day"), one_each(phases, "day"))).select(*EVENT_COLUMNS)
@@ -183,7 +189,7 @@ def manifest(spark: SparkSession, store: str) -> DataFrame | None:
     return spark.read.parquet(f"{store}/manifest") if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
 
 
-def build_store(spark: SparkSession, path: str, store: str, directions: dict, phases: dict, days: tuple[int, int, int]) -> DataFrame:
+def build_store(spark: SparkSession, path: str, store: str, directions: dict, phases: dict, days: tuple[int, ...]) -> DataFrame:
     """Write events, node definitions, summaries and faulty lines of all shards that the manifest lacks; returns the manifest.
 
     Tables are partitioned by shard, and a shard's partitions are overwritten as a whole, so a build that was cut off is
@@ -197,10 +203,11 @@ def build_store(spark: SparkSession, path: str, store: str, directions: dict, ph
     files = [r["source"] for r in todo.select("source").collect()]  # names of files only
     if not files:
         return done if done is not None else spark.createDataFrame([], "source string, source_bytes long, raw_shard int, records long, faulty long")
+    near = F.broadcast if len(files) <= BROADCAST_FILES else lambda df: df
     # read_record is the costly step, so its result is stored once and reread
-    read = records(lines(spark, files)).join(F.broadcast(todo.select(F.regexp_replace("source", "^file:/+", "/").alias("at"), "raw_shard")), F.regexp_replace("source", "^file:/+", "/") == F.col("at")).drop("at")
+    read = records(lines(spark, files)).join(near(todo.select(F.regexp_replace("source", "^file:/+", "/").alias("at"), "raw_shard")), F.regexp_replace("source", "^file:/+", "/") == F.col("at")).drop("at")
     _overwrite(read, f"{store}/records")
-    read = spark.read.parquet(f"{store}/records").join(F.broadcast(todo.select("raw_shard")), "raw_shard", "left_semi")
+    read = spark.read.parquet(f"{store}/records").join(near(todo.select("raw_shard")), "raw_shard", "left_semi")
     events = event_rows(read, directions, phases, days)
     _overwrite(events, f"{store}/events")
     _overwrite(node_rows(read), f"{store}/node_definitions")
@@ -215,6 +222,12 @@ def _overwrite(df: DataFrame, to: str) -> None:
 
 
 def evidence(placed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Raw lines at wanted places (source, raw_offset), with their record's id."""
-    hits = placed.join(wanted.select("source", "raw_offset").distinct(), ["source", "raw_offset"], "left_semi")
-    return hits.join(records(hits).select("source", "raw_offset", "uuid"), ["source", "raw_offset"])
+    """Raw lines at wanted places (source, raw_offset), with their record's id. Where wanted has expected_uuid, another id is an error."""
+    checked = "expected_uuid" in wanted.columns
+    places = wanted.select("source", "raw_offset", *(["expected_uuid"] if checked else [])).distinct()
+    hits = records(placed.join(places, ["source", "raw_offset"], "left_semi"), text=True).select("source", "raw_line", "raw_offset", "value", "uuid")
+    if not checked:
+        return hits
+    wrong = F.col("expected_uuid").isNotNull() & ~F.col("uuid").eqNullSafe(F.col("expected_uuid"))
+    other = F.raise_error(F.concat_ws(" ", F.lit("another id than expected at"), "source", "raw_offset")).cast("binary")
+    return hits.join(places, ["source", "raw_offset"]).withColumn("uuid", F.when(wrong, other).otherwise(F.col("uuid"))).drop("expected_uuid")

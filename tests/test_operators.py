@@ -22,6 +22,13 @@ def test_definitions_collapse(spark):
     assert {(r.node_uuid, r.definition_count, r.entity_type, r.entity_type_id) for r in graph.node_types(d).collect()} == {("a", 2, "SUBJECT_PROCESS", 0), ("n", 1, "NET_FLOW", 4), ("z", 1, "UNKNOWN", 9)}
 
 
+def test_nodes_of_two_record_types_raise(spark):
+    d = spark.createDataFrame([("a", "Subject", None, 1, 5), ("a", "Subject", "SUBJECT_PROCESS", 0, 9), (None, "FileObject", None, 0, 1)], "node_uuid string, record_type string, subtype string, raw_shard int, raw_line long")
+    assert [(r.node_uuid, r.definition_count) for r in graph.node_types(d).collect()] == [("a", 2)]
+    with pytest.raises(Exception, match="conflicting record types"):
+        graph.node_types(d.unionByName(d.selectExpr("'a' as node_uuid", "'FileObject' as record_type", "subtype", "raw_shard", "raw_line"))).collect()
+
+
 def test_gaps_over_slices(spark):
     import random
 

@@ -46,6 +46,12 @@ def test_values_are_unwrapped_and_typed():
     assert "error" in audit.read_record("{") and "error" in audit.read_record('{"datum": {"a": {}, "b": {}}}') and "error" in audit.read_record('{"datum": {"a": 3}}') and "error" in audit.read_record("[1]")
 
 
+def test_all_properties_are_kept(spark, tmp_path):
+    write(tmp_path / "a.json", [record("Event", properties={"map": {"exec": {"string": "sh"}, "n": 3, "deep": [1], "none": None}}), record("Event")])
+    got = audit.records(audit.lines(spark, str(tmp_path))).orderBy("raw_line").collect()
+    assert [r.properties for r in got] == [{"exec": "sh", "n": "3", "deep": "[1]"}, {}]
+
+
 def test_host_by_presence_of_the_key():
     base = {"hostId": f"{U}1"}
     assert audit.read_record(record("Subject", baseObject=base))["host_uuid"] is not None
@@ -74,6 +80,14 @@ def test_store_is_built_once_and_resumed(spark, tmp_path):
         audit.build_store(spark, str(src), out, DIRECTIONS, PHASES, DAYS)
     hit = audit.evidence(placed, placed.where("raw_line = 3").select("source", "raw_offset")).collect()
     assert [h.uuid[-1] for h in hit] == [3]
+    third = placed.where("raw_line = 3").select("source", "raw_offset")
+    for n, good in ((3, True), (9, False)):
+        expected = third.withColumn("expected_uuid", F.lit(bytes(15) + bytes([n])))
+        if good:
+            assert [h.raw_line for h in audit.evidence(placed, expected).collect()] == [3]
+        else:
+            with pytest.raises(Exception, match="another id than expected"):
+                audit.evidence(placed, expected).collect()
 
 
 def test_days_outside_are_null_and_conflicts_raise(spark):
