@@ -118,6 +118,35 @@ def one_hop_search(spark, sf):
     return traversal.bounded_search(c, seeds, hops=1).select("pg_id", "seed_uuid", F.col("position").cast("long").alias("position"), "src_uuid", "dst_uuid", "event_type", "predicate_index", "traversal_direction")
 
 
+#: Seeds, numbered edges with both ways of looking at them, and the breadth-first edges of two hops.
+AROUND = f"""{LEAVES}, {LEAF_ROWS}, seeds AS (SELECT pg_id, node_uuid AS seed_uuid FROM (SELECT *, row_number() OVER (PARTITION BY pg_id ORDER BY event_count DESC, node_uuid) AS o FROM nf) WHERE o = 1
+), le1 AS (SELECT pg_id, src_uuid, dst_uuid, event_type, predicate_index, f[1] AS first_timestamp_ns, first_event_uuid, row_number() OVER (PARTITION BY pg_id ORDER BY f[1], src_uuid, dst_uuid, event_type, predicate_index) AS i FROM lc
+), side AS (SELECT pg_id, i, 0 AS way, src_uuid AS node, dst_uuid AS far FROM le1 UNION ALL SELECT pg_id, i, 1, dst_uuid, src_uuid FROM le1
+), h1 AS (SELECT pg_id, seed_uuid, way, i, far FROM seeds JOIN side USING (pg_id) WHERE node = seed_uuid
+), n1 AS (SELECT pg_id, seed_uuid, way, far AS node, min(i) AS found FROM h1 GROUP BY ALL
+), bfs AS (SELECT pg_id, seed_uuid, way, i, hop, row_number() OVER (PARTITION BY pg_id ORDER BY hop, way, found, i) AS position FROM (
+    SELECT pg_id, seed_uuid, way, i, 1 AS hop, 0 AS found FROM h1 UNION ALL SELECT n1.pg_id, n1.seed_uuid, n1.way, s.i, 2, found FROM n1 JOIN side s ON s.pg_id = n1.pg_id AND s.way = n1.way AND s.node = n1.node) QUALIFY position <= 40)"""
+EDGE = "src_uuid, dst_uuid, event_type, CAST(predicate_index AS INT) AS predicate_index, CAST(first_timestamp_ns AS BIGINT) AS first_timestamp_ns, first_event_uuid"
+WAY = "CASE way WHEN 0 THEN 'forward' ELSE 'backward' END AS traversal_direction, CAST(hop AS INT) AS hop"
+#: One edge a neighbour (those with a write before the others), then the other edges, ways in turn; then new ones of the first 40 breadth-first edges.
+COVER = f"""{AROUND}, r1 AS (SELECT h1.*, event_type = 'EVENT_WRITE' AS liked, span / len AS q, bool_or(event_type = 'EVENT_WRITE') OVER nb AS any_liked, row_number() OVER (PARTITION BY h1.pg_id, way, far ORDER BY event_type <> 'EVENT_WRITE', i) AS place
+    FROM h1 JOIN le1 USING (pg_id, i) JOIN nf ON nf.pg_id = h1.pg_id AND nf.node_uuid = far WINDOW nb AS (PARTITION BY h1.pg_id, way, far)
+), tier AS (SELECT *, CASE WHEN place > 1 THEN 2 WHEN any_liked THEN 0 ELSE 1 END AS t FROM r1
+), near AS (SELECT *, row_number() OVER (PARTITION BY pg_id, t, way ORDER BY q DESC, i) AS p FROM tier
+), marked AS (SELECT x.*, (src_uuid, dst_uuid, event_type, first_timestamp_ns) AS mark FROM (
+    SELECT pg_id, seed_uuid, way, i, 1 AS hop, 0 AS stage, row_number() OVER (PARTITION BY pg_id ORDER BY t, p, way) AS o FROM near UNION ALL SELECT pg_id, seed_uuid, way, i, hop, 1, position FROM bfs) x JOIN le1 USING (pg_id, i)
+), fill AS (SELECT * FROM marked WHERE stage = 0 UNION ALL (SELECT * FROM marked m WHERE stage = 1 AND NOT EXISTS (SELECT 1 FROM marked u WHERE u.stage = 0 AND u.pg_id = m.pg_id AND u.mark = m.mark) QUALIFY row_number() OVER (PARTITION BY pg_id, mark ORDER BY o) = 1)
+), out AS (SELECT *, row_number() OVER (PARTITION BY pg_id ORDER BY stage, o) AS position FROM fill QUALIFY position <= 40)"""
+#: The seed's edges, then those of its neighbours by id, incoming and outgoing in turn, writes and high scores first.
+CONTEXT = f"""{AROUND}, rk AS (SELECT side.pg_id, side.i, node, 1 - way AS turn, row_number() OVER (PARTITION BY side.pg_id, node, way ORDER BY event_type <> 'EVENT_WRITE', span / len DESC, first_timestamp_ns, first_event_uuid, predicate_index, src_uuid, dst_uuid) AS p
+    FROM side JOIN le1 USING (pg_id, i) JOIN nf ON nf.pg_id = side.pg_id AND nf.node_uuid = far
+), own AS (SELECT pg_id, seed_uuid, i, row_number() OVER (PARTITION BY pg_id ORDER BY p, turn) AS o FROM rk JOIN seeds USING (pg_id) WHERE node = seed_uuid QUALIFY o <= 40
+), around AS (SELECT DISTINCT pg_id, seed_uuid, unnest([src_uuid, dst_uuid]) AS node FROM own JOIN le1 USING (pg_id, i)
+), every AS (SELECT pg_id, seed_uuid, i, '' AS node, o AS p, 0 AS turn FROM own UNION ALL SELECT pg_id, seed_uuid, i, node, p, turn FROM around JOIN rk USING (pg_id, node) WHERE node <> seed_uuid
+), once AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY pg_id, i ORDER BY node, p, turn) = 1
+), out AS (SELECT *, row_number() OVER (PARTITION BY pg_id ORDER BY node, p, turn) AS position FROM once QUALIFY position <= 40)"""
+
+
 def _context(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Compressed edges, seeds and scores of all intervals: the node with the most events is the seed, its share of events the score."""
     n, c = leaf_features(spark, sf)
@@ -125,17 +154,17 @@ def _context(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
     return c, seeds, n.select("pg_id", "node_uuid", "span_ratio").withColumnRenamed("span_ratio", "q")
 
 
-@query()
+@query(f"{AROUND} SELECT pg_id, seed_uuid, CAST(position AS INT) AS position, {EDGE}, {WAY} FROM bfs JOIN le1 USING (pg_id, i)")
 def bounded_search(spark, sf):
     return traversal.bounded_search(*_context(spark, sf)[:2])
 
 
-@query()
+@query(f"{COVER} SELECT o.pg_id, seed_uuid, CAST(position AS INT) AS position, le1.src_uuid, le1.dst_uuid, le1.event_type, CAST(le1.predicate_index AS INT) AS predicate_index, CAST(le1.first_timestamp_ns AS BIGINT) AS first_timestamp_ns, le1.first_event_uuid, {WAY} FROM out o JOIN le1 ON le1.pg_id = o.pg_id AND le1.i = o.i")
 def neighbor_cover(spark, sf):
     return traversal.neighbor_cover(*_context(spark, sf))
 
 
-@query()
+@query(f"{CONTEXT} SELECT pg_id, seed_uuid, CAST(position AS INT) AS position, {EDGE} FROM out JOIN le1 USING (pg_id, i)")
 def bounded_context(spark, sf):
     return traversal.bounded_context(*_context(spark, sf))
 

@@ -81,7 +81,7 @@ def audit_summary(spark, sf):
     return spark.read.parquet(f"{_store(spark, sf)}/store/summary").groupBy("dimension", "value").agg(F.sum("n").alias("n"))
 
 
-@query(f"{WITH}, {SQL_NODES.strip()} SELECT (SELECT count(*) FROM e) + (SELECT count(*) FROM defs) AS records, {FAULTY} AS faulty, true AS whole")
+@query(f"{WITH}, {SQL_NODES.strip()} SELECT (SELECT count(*) FROM e) + (SELECT count(*) FROM defs) AS records, CAST({FAULTY} AS BIGINT) AS faulty, true AS whole")
 def audit_manifest(spark, sf):
     """Records and faulty lines of the whole store, and whether a second build finds nothing to do."""
     to = _store(spark, sf)
