@@ -1,4 +1,5 @@
-"""Registered queries of the audit-record reader: the event stream written as NDJSON records, read back, stored and looked up."""
+"""Registered queries of readers and stores: the event stream written as NDJSON records, read back, stored and looked up; a bundle of
+techniques; stores of arrays, table properties and compact documents; stitch chains."""
 
 from __future__ import annotations
 
@@ -8,10 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import control, graph
 from ..operators.shared import _delete, shared_folder
-from ..sources import adapter, audit
-from ..sources.adapter import SQL_NODES
-from .registry import WITH, query
+from ..sources import adapter, artifacts, audit, knowledge
+from ..sources.adapter import SQL_NODES, table
+from .nodes import LEAF_ROWS, LEAVES, leaf_features
+from .registry import COMPRESSED, WITH, query
 
 DAYS = (1, 31, 0, 2024, 1)
 PHASES = {"fit": range(1, 13), "calibration": range(13, 19), "development": range(19, 22), "context": range(22, 28), "locked_test": range(28, 31)}
@@ -34,10 +37,16 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     return lines.unionByName(spark.range(FAULTY).select(F.lit('{"datum":{}}').alias("value")))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder among the shared ones, deleted when the application ends."""
+    to = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, to)
+    return to
+
+
 def _store(spark: SparkSession, sf: str) -> str:
     """A store of the records, in the shared folder until the application ends. Lines are written as files x.json by their task's number."""
-    to = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, to)
+    to = _folder(spark, "audit")
     _records(spark, sf).withColumn("shard", F.concat(F.lit("part"), F.spark_partition_id().cast("string"))).write.partitionBy("shard").text(f"{to}/lines")
     _named_json(spark, f"{to}/lines", f"{to}/in")
     directions: dict[str, list[str]] = {}
@@ -101,3 +110,59 @@ def raw_evidence(spark, sf):
     hits = audit.evidence(plain(placed), plain(wanted))
     at = "$['datum']['com.example.Event']"
     return hits.select(F.lower(F.hex("uuid")).alias("event_uuid"), F.get_json_object("value", at + "['uuid']['com.example.UUID']").alias("text_uuid"), F.get_json_object("value", at + "['sequence']['long']").cast("long").alias("sequence"))
+
+
+@query("""SELECT 'T' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') || CASE WHEN p_size > 25 THEN '.' || lpad(CAST(p_size AS VARCHAR), 3, '0') ELSE '' END AS technique_id, p_name AS name, array_to_string(list_sort([p_type, p_brand]), ',') AS tactics, '' AS description, 'attack-pattern--' || p_partkey AS stix_id
+FROM part WHERE p_brand <> 'Brand#2' AND p_type <> 'SMALL'""")
+def techniques(spark, sf):
+    """Parts as the attack patterns of a bundle: those of one brand are revoked, small ones deprecated; ids stand behind others that are no technique's."""
+    key = F.col("p_partkey").cast("string")
+    name = F.concat(F.lit("T"), F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0"), F.when(F.col("p_size") > 25, F.concat(F.lit("."), F.lpad(F.col("p_size").cast("string"), 3, "0"))).otherwise(F.lit("")))
+    other = lambda x: F.struct(x.alias("external_id"))
+    phase = lambda c: F.struct(F.col(c).alias("phase_name"))
+    made = F.struct(
+        F.lit("attack-pattern").alias("type"), F.concat(F.lit("attack-pattern--"), key).alias("id"), F.col("p_name").alias("name"), (F.col("p_brand") == "Brand#2").alias("revoked"), F.when(F.col("p_type") == "SMALL", True).alias("x_mitre_deprecated"),
+        F.array(phase("p_type"), phase("p_brand")).alias("kill_chain_phases"), F.array(other(F.concat(F.lit("CAPEC-"), key)), other(name), other(F.lit("T9999"))).alias("external_references"),
+    )
+    to = _folder(spark, "bundle")
+    documents = table(spark, sf, "part").groupBy(F.expr("p_partkey div 1000").alias("k")).agg(F.collect_list(made).alias("objects"))
+    documents.select(F.to_json(F.struct("objects"))).write.option("maxRecordsPerFile", 1).text(to)
+    return knowledge.techniques(knowledge.bundle(spark, to)).drop("modified").withColumn("tactics", F.array_join("tactics", ","))
+
+
+@query(f"""{LEAVES}, {LEAF_ROWS} SELECT n.pg_id, nodes, counts, labels, coalesce(weights, 0) AS weights FROM (SELECT pg_id, string_agg(node_uuid, ',' ORDER BY node_uuid) AS nodes, string_agg(CAST(event_count AS VARCHAR), ',' ORDER BY node_uuid) AS counts, string_agg(CAST(in_degree AS VARCHAR), ',' ORDER BY node_uuid) AS labels FROM nf GROUP BY pg_id) n
+LEFT JOIN (SELECT pg_id, count(*) AS weights FROM (SELECT DISTINCT pg_id, least(src_uuid, dst_uuid), greatest(src_uuid, dst_uuid) FROM lc) GROUP BY pg_id) w USING (pg_id)""")
+def interval_arrays(spark, sf):
+    """What a store of arrays holds of each interval: ids, feature vectors (one count) and numbers (the in-degree) of nodes in order, and how many weighted edges."""
+    n, c = leaf_features(spark, sf)
+    to = f"{_folder(spark, 'arrays')}/store"
+    artifacts.array_store(n.select("pg_id", "node_uuid", F.array("event_count").alias("x")), graph.undirected_weights(c, "pg_id"), n.select("pg_id", "node_uuid", F.col("in_degree").alias("label")), to)
+    joined = lambda a: F.array_join(a, ",")
+    return spark.read.parquet(to).select("pg_id", joined("node_uuid").alias("nodes"), joined(F.transform("x", lambda v: v[0].cast("string"))).alias("counts"), joined(F.transform("community", lambda v: v.cast("string"))).alias("labels"), F.coalesce(F.size("edges"), F.lit(0)).cast("long").alias("weights"))
+
+
+@query(f"SELECT * FROM (VALUES ('schema_version', '{artifacts.SCHEMA_VERSION}'), ('table', 'edges'), ('evidence_reference', '{artifacts.EVIDENCE_REFERENCE}')) AS v(key, value)")
+def table_properties(spark, sf):
+    """Properties that a stored table of edges carries."""
+    to = f"{_folder(spark, 'properties')}/edges"
+    artifacts.with_properties(graph.edges(adapter.events(spark, sf)), "edges").write.parquet(to)
+    return spark.createDataFrame(list(artifacts.properties(spark.read.parquet(to)).items()), "key string, value string")
+
+
+@query(f"{WITH}, {COMPRESSED} SELECT CAST(to_json({{'src_uuid': src_uuid, 'event_type': event_type, 'event_count': event_count, 'nothing': NULL}}) AS VARCHAR) AS document FROM comp")
+def compact_documents(spark, sf):
+    c = graph.compress(graph.edges(adapter.events(spark, sf)), "logical_day")
+    return artifacts.compact(c.withColumn("nothing", F.lit(None).cast("string")), "src_uuid", "event_type", "event_count", "nothing")
+
+
+@query("""WITH RECURSIVE s AS (SELECT l_orderkey AS path_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey % 4, l_linestatus) AS o, 'e' || l_linenumber AS edge_id, ['s' || (l_suppkey % 4), 'm' || l_linestatus] AS entities FROM lineitem WHERE l_returnflag <> 'R'
+), f AS (SELECT o_orderkey AS path_id, 0 AS o, ['s' || (o_custkey % 4), 'mO'] AS eligible, CAST([] AS VARCHAR[]) AS bad FROM orders UNION ALL
+  SELECT f.path_id, s.o, CASE WHEN list_has_any(eligible, entities) THEN entities ELSE eligible END, CASE WHEN list_has_any(eligible, entities) THEN bad ELSE list_append(bad, edge_id) END FROM f JOIN s ON s.path_id = f.path_id AND s.o = f.o + 1)
+SELECT path_id, len(bad) = 0 AS valid, array_to_string(bad, ',') AS invalid FROM (SELECT path_id, arg_max(bad, o) AS bad FROM f GROUP BY path_id)""")
+def stitch_chains(spark, sf):
+    """Orders as paths, their lines as steps (returned ones as causal), suppliers and line states as entities."""
+    l, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    group = lambda c: F.concat(F.lit("s"), (F.col(c) % 4).cast("string"))
+    steps = l.select(F.col("l_orderkey").alias("path_id"), F.col("l_linenumber").alias("position"), F.concat(F.lit("e"), F.col("l_linenumber").cast("string")).alias("edge_id"), F.when(F.col("l_returnflag") == "R", "causal_event").otherwise("identity_continuity").alias("semantics"), F.array(group("l_suppkey"), F.concat(F.lit("m"), "l_linestatus")).alias("entities"))
+    starts = o.select(F.col("o_orderkey").alias("path_id"), F.array(group("o_custkey"), F.lit("mO")).alias("entities"))
+    return control.stitch_chain(steps, starts).select("path_id", "valid", F.array_join("invalid_edge_ids", ",").alias("invalid"))
