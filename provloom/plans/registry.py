@@ -212,21 +212,27 @@ def fmg_witnesses(spark, sf):
     return fmg.indexed(_fmg(spark, sf)[2])
 
 
-@query(f"""{FMG}, r AS (SELECT *, CASE evidence_semantics WHEN 'causal_event' THEN 1 ELSE 0 END AS c FROM rel), p AS (SELECT a.src_community_id AS left_id, a.dst_community_id AS middle_id, b.dst_community_id AS right_id, a.fmg_edge_id AS first_edge, b.fmg_edge_id AS second_edge, a.c + b.c AS k FROM r a JOIN r b ON b.src_community_id = a.dst_community_id
-WHERE a.src_community_id <> b.dst_community_id AND NOT EXISTS (SELECT 1 FROM rel x WHERE x.src_community_id = a.src_community_id AND x.dst_community_id = b.dst_community_id)), n AS (SELECT *, row_number() OVER (PARTITION BY left_id, right_id ORDER BY k DESC, middle_id, first_edge, second_edge) AS rank FROM p)
-SELECT left_id, middle_id, right_id, first_edge, second_edge, CASE k WHEN 2 THEN 'causal_path' WHEN 1 THEN 'mixed_path' ELSE 'identity_only' END AS path_class, rank FROM n WHERE rank <= 3""")
+_STEPS = "r AS (SELECT *, CASE evidence_semantics WHEN 'causal_event' THEN 1 ELSE 0 END AS c FROM rel), p AS (SELECT a.src_community_id AS left_id, a.dst_community_id AS middle_id, b.dst_community_id AS right_id, a.fmg_edge_id AS first_edge, b.fmg_edge_id AS second_edge, a.c + b.c AS k FROM r a JOIN r b ON b.src_community_id = a.dst_community_id WHERE a.src_community_id <> b.dst_community_id AND NOT EXISTS (SELECT 1 FROM rel x WHERE x.src_community_id = a.src_community_id AND x.dst_community_id = b.dst_community_id))"
+_RANKED = "row_number() OVER (PARTITION BY left_id, right_id ORDER BY k DESC, middle_id, first_edge, second_edge) AS rank"
+_PATH = "CASE k WHEN 2 THEN 'causal_path' WHEN 1 THEN 'mixed_path' ELSE 'identity_only' END AS path_class"
+
+
+@query(f"{FMG}, {_STEPS} SELECT left_id, middle_id, right_id, first_edge, second_edge, {_PATH}, {_RANKED} FROM p")
 def bridge_candidates(spark, sf):
-    """As its SQL: the first three of each pair of ends. bridge_retrieval has all."""
-    return fmg.bridges(fmg.relations(_fmg(spark, sf)[2])).where("rank <= 3")
+    """All bridges between communities, whatever their time."""
+    return fmg.bridges(fmg.relations(_fmg(spark, sf)[2]))
 
 
-@query()
+@query(f"""{FMG}, {_STEPS}, cd AS (SELECT DISTINCT community_id, logical_day FROM member), o AS (SELECT p.* FROM p JOIN cd l ON l.community_id = left_id JOIN cd m ON m.community_id = middle_id JOIN cd x ON x.community_id = right_id WHERE m.logical_day + 1 > least(l.logical_day, x.logical_day) AND m.logical_day < greatest(l.logical_day, x.logical_day) + 1
+), ids AS (SELECT 'fmg-' || substr(sha256(edge_type || chr(0) || src_community_id || chr(0) || dst_community_id), 1, 24) AS edge, list(DISTINCT evidence_id) AS ids FROM (SELECT * FROM dir UNION ALL SELECT * FROM cont) GROUP BY ALL
+), b AS (SELECT *, {_RANKED} FROM o) SELECT left_id, middle_id, right_id, first_edge, second_edge, {_PATH}, rank, len(list_distinct(f.ids || g.ids)) AS witnesses, sha256(array_to_string(list_sort(list_distinct(f.ids || g.ids)), ',')) AS witnesses_sha256 FROM b JOIN ids f ON f.edge = first_edge JOIN ids g ON g.edge = second_edge""")
 def bridge_retrieval(spark, sf):
-    """Every bridge whose middle overlaps the time of its ends, with the witnesses of both steps."""
+    """Every bridge whose middle overlaps the time of its ends, with how many witnesses its steps have and a digest of their sorted ids."""
     member, _, witness = _fmg(spark, sf)
     start = (F.col("logical_day") - 1).cast("long") * DAY_NS + FIRST_DAY_NS
     communities = member.select("community_id", start.alias("start_ns"), (start + DAY_NS).alias("end_ns")).distinct()
-    return fmg.bridges(fmg.relations(witness), communities, witness=witness)
+    out = fmg.bridges(fmg.relations(witness), communities, witness=witness)
+    return out.withColumns({"witnesses": F.size("witness_ids").cast("long"), "witnesses_sha256": F.sha2(F.array_join("witness_ids", ","), 256)}).drop("witness_ids")
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 30 MINUTES, ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY ALL")
