@@ -19,6 +19,8 @@ from .graph import components, forest
 BATCH_BYTES = 2_000_000
 NODE_ROWS = 20_000
 TASK_ROWS = 60_000
+#: Times the rows of an even node from which a node counts as large.
+SKEW = 4
 #: Pairs of trie nodes that are looked at together, and leaf pairs under which a pair of nodes is compared at once.
 FRONTIER = 8_000
 LEAF_PAIRS = 64
@@ -205,7 +207,9 @@ def near_links(points: DataFrame, bits: int = 64, budget: int = 3, fps: tuple[Co
     once for each block, turned to have that block first, and the nodes under equal blocks are the tasks. A
     node with over NODE_ROWS rows is opened by eight more bits, its pairs of children within the budget becoming
     tasks in turn, until none is too large. A node that still is at full depth (rows of one fingerprint that only
-    their checks tell apart) is dealt into blocks, each pair of them a task: no common block, however hot, meets in one task.
+    their checks tell apart), or that fewer blocks than ways to open it divide, is dealt into blocks, each pair of them a task:
+    no common block, however hot, meets in one task. NODE_ROWS gives way to SKEW times the rows of an even node, so that a
+    large table is not copied by opening all of its nodes.
     """
     kept = (*checks, group) if group else checks
     blocks = budget + 1
@@ -220,14 +224,29 @@ def near_links(points: DataFrame, bits: int = 64, budget: int = 3, fps: tuple[Co
     rows = points.select("id", *kept, F.inline(F.array(*turned)))
     rows = rows.select("id", *kept, "fp", F.lit(0).alias("side"), F.concat_ws(":", "r", F.shiftrightunsigned("fp", 64 - width)).alias("key"), F.lit(budget).alias("rest"))
     ready, depth = [], width
+    count = points.count()
+    most_rows = max(NODE_ROWS, SKEW * count >> width)
 
     def hot_keys() -> tuple[DataFrame, DataFrame]:
-        """Keys with over NODE_ROWS rows and rows of the others and of those with more than one group."""
+        """Keys with over most_rows rows and rows of the others and of those with more than one group."""
         low, high_ = (F.min(group), F.max(group)) if group else (F.lit(0), F.lit(1))
-        hot = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), low.alias("lo"), high_.alias("hi")).where(F.col("n") > NODE_ROWS))
+        hot = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), low.alias("lo"), high_.alias("hi")).where(F.col("n") > most_rows))
         one = hot.where("lo = hi").select("key")
         return hot.where("lo <> hi").select("key", "n"), rows if one.isEmpty() else rows.join(F.broadcast(one), "key", "left_anti")
 
+    def in_blocks(hot: DataFrame) -> DataFrame:
+        """Rows of hot keys, dealt; of m blocks, a row of block i is side 0 of its pairs with those after i, side 1 of those before."""
+        big = rows.join(F.broadcast(hot), "key").withColumn("m", F.ceil(F.col("n") * 2 / most_rows).cast("int"))
+        crossed = F.col("key").contains("x")
+        mine = F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("m")).cast("int")
+        dealt = big.withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        # across two nodes: blocks of side 0 by blocks of side 1, each row keeping its side
+        a = F.when(crossed, F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j"))).otherwise(F.least("i", "j"))
+        b = F.when(crossed, F.when(F.col("side") == 0, F.col("j")).otherwise(F.col("i"))).otherwise(F.greatest("i", "j"))
+        at = F.when(crossed, F.col("side")).otherwise((F.col("i") > F.col("j")).cast("int"))
+        joint = F.when(crossed | (a != b), F.lit("x")).otherwise(F.lit("."))
+        return dealt.select("id", *kept, "fp", at.alias("side"), F.concat("key", F.lit("|"), a, joint, b).alias("key"), "rest")
+
     while depth < bits:
         hot, rows = hot_keys()
         if hot.isEmpty():
@@ -235,6 +254,12 @@ def near_links(points: DataFrame, bits: int = 64, budget: int = 3, fps: tuple[Co
         ready.append(rows.join(hot, "key", "left_anti"))
         take = min(8, bits - depth)
         masks = sorted((m for m in range(1 << take) if m.bit_count() <= budget), key=lambda m: (m.bit_count(), m))
+        fewer = F.col("n") * 2 <= len(masks) * most_rows  # blocks copy a row less often than opening does
+        ready.append(in_blocks(hot.where(fewer)))
+        hot = hot.where(~fewer)
+        if hot.isEmpty():
+            rows = rows.limit(0)
+            break
         big = rows.join(hot.select("key"), "key").withColumn("own", F.shiftrightunsigned("fp", 64 - depth - take).bitwiseAND(F.lit((1 << take) - 1)))
         opened = big.withColumn("mask", F.explode(F.filter(F.array(*map(F.lit, masks)), lambda m: F.bit_count(m) <= F.col("rest")))).withColumn("other", F.col("own").bitwiseXOR(F.col("mask")))
         # within one node the smaller child is side 0; across two nodes each row keeps its side
@@ -251,17 +276,7 @@ def near_links(points: DataFrame, bits: int = 64, budget: int = 3, fps: tuple[Co
         hot, rows = hot_keys()
         if not hot.isEmpty():
             ready.append(rows.join(hot, "key", "left_anti"))
-            # of m blocks, a row of block i is side 0 of its pairs with those after i, side 1 of those before
-            big = rows.join(F.broadcast(hot), "key").withColumn("m", F.ceil(F.col("n") * 2 / NODE_ROWS).cast("int"))
-            crossed = F.col("key").contains("x")
-            mine = F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("m")).cast("int")
-            dealt = big.withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-            # across two nodes: blocks of side 0 by blocks of side 1, each row keeping its side
-            a = F.when(crossed, F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j"))).otherwise(F.least("i", "j"))
-            b = F.when(crossed, F.when(F.col("side") == 0, F.col("j")).otherwise(F.col("i"))).otherwise(F.greatest("i", "j"))
-            at = F.when(crossed, F.col("side")).otherwise((F.col("i") > F.col("j")).cast("int"))
-            joint = F.when(crossed | (a != b), F.lit("x")).otherwise(F.lit("."))
-            rows = dealt.select("id", *kept, "fp", at.alias("side"), F.concat("key", F.lit("|"), a, joint, b).alias("key"), "rest")
+            rows = in_blocks(hot)
     for r in ready:
         rows = rows.unionByName(r)
 
@@ -313,7 +328,7 @@ def near_links(points: DataFrame, bits: int = 64, budget: int = 3, fps: tuple[Co
             yield batch(a=(a, pa.int64()), b=(b, pa.int64()))
 
     rows = rows.select("id", *kept, "fp", F.col("side").cast("int").alias("side"), F.xxhash64("key").alias("k"))
-    tasks = max(16, -(-points.count() * len(turned) // TASK_ROWS))
+    tasks = max(16, -(-count * len(turned) // TASK_ROWS))
     return arrow_map(rows.repartition(tasks, "k"), run, "a long, b long, lost boolean" if nearest else "a long, b long")
 
 
@@ -346,9 +361,12 @@ NEAREST = 2
 COMPARE_BYTES = 16_000_000
 COMPARE_ROWS = 512
 COMPARE_COLUMNS = 8192
-#: Most classes for which a plan (bits of a table, errors, tables) proposes about ten chance pairs a class; each plan has
-#: a pair at 0.8 in one of its tables with a chance of 0.95.
-PLANS = ((1_500_000, 32, 3, 10), (2_500_000_000, 48, 4, 21), (2**63, 64, 5, 45))
+#: Most classes for a plan (bits of a table, errors, tables); each plan has a pair at 0.8 in one of its tables with a chance of 0.95.
+#: Chance pairs of a class grow with the classes (the first plan: 6.4 at a million). They are dropped inside the tasks, so they cost time and
+#: no disk, while a row for each block of each table is written: 40 for a class in the first plan, 105 in the second, 270 in the third.
+PLANS = ((50_000_000, 32, 3, 10), (2_500_000_000, 48, 4, 21), (2**63, 64, 5, 45))
+#: Fingerprint words of 64 bits that every such row carries, to drop pairs that are far apart: as many as the first plan has.
+CHECK_WORDS = 5
 
 
 def plan_similar(n: int) -> tuple[int, int, int, int]:
@@ -449,21 +467,23 @@ def compared(members: DataFrame) -> DataFrame:
 def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """similar_groups() of placed docs with each row's key, and `chosen`: whether it is the one row of its group that a deduplicated table holds."""
     bits, errors, tables, words = plan_similar(docs.count())
-    most = round(64 * words * BIT_DIFFERS + DEVIATIONS * (64 * words * BIT_DIFFERS * (1 - BIT_DIFFERS)) ** 0.5)
     names = [f"f{w}" for w in range(words)]
+    checks = names[:CHECK_WORDS]
+    tested = 64 * len(checks)
+    most = round(tested * BIT_DIFFERS + DEVIATIONS * (tested * BIT_DIFFERS * (1 - BIT_DIFFERS)) ** 0.5)
     rows = stored(fingerprints(docs, SIMILAR_SHINGLE, words, id_col, text_col, sets=True))
     low = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), *ROW)).alias("low")
     classes = stored(rows.groupBy("id", "n", *names).agg(low))
     fps = tuple(F.shiftleft(F.col(n), i * bits) for n in names for i in range(64 // bits))[:tables]
     # stars: each class with the smallest one that shares a fingerprint, so that large groups of near copies are one before pairs are sought
-    pieces = classes.select("id", *names, F.posexplode(F.array(*(F.shiftrightunsigned(fp, 64 - bits) for fp in fps))).alias("p", "v"))
-    hubs = pieces.groupBy("p", "v").agg(F.min(F.struct(F.col("id").alias("a"), *(F.col(n).alias(f"h{n}") for n in names))).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("p", "v", "hub.*")
-    far = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"h{n}"))) for n in names), F.lit(0))
+    pieces = classes.select("id", *checks, F.posexplode(F.array(*(F.shiftrightunsigned(fp, 64 - bits) for fp in fps))).alias("p", "v"))
+    hubs = pieces.groupBy("p", "v").agg(F.min(F.struct(F.col("id").alias("a"), *(F.col(n).alias(f"h{n}") for n in checks))).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("p", "v", "hub.*")
+    far = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"h{n}"))) for n in checks), F.lit(0))
     stars = pieces.join(hubs, ["p", "v"]).where((F.col("id") != F.col("a")) & (far <= most)).select("a", F.col("id").alias("b"))
     stars = stored(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     starred = stored(similar(docs, classes, stars, id_col, text_col))
     grouped = stored(classes.join(components(starred), "id", "left").withColumn("star", F.coalesce("root", "id")).drop("root", "low"))
-    made = stored(near_links(grouped, bits, errors, fps, tuple(names), most, thinned=False, group="star", nearest=NEAREST))
+    made = stored(near_links(grouped, bits, errors, fps, tuple(checks), most, thinned=False, group="star", nearest=NEAREST))
     pairs = made.where("not lost").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     lost = made.where("lost").select("a", "b")
     links = starred
@@ -489,9 +509,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs: doc_id, component_id, for texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
     A single fingerprint with three errors finds only texts that are almost equal. So each set gets several fingerprints:
-    up to 1.5 million texts ten of 32 bits, beyond that more and longer ones (PLANS), so that pairs proposed by chance stay
-    in proportion to the texts. A trie self-join of each proposes pairs (a pair at 0.8 is in one of them with over 0.95;
-    pairs already joined through others are left out), all bits together drop those that are far apart, and the sets themselves decide.
+    up to 50 million texts ten of 32 bits, beyond that more and longer ones (PLANS), so that pairs proposed by chance stay
+    few enough to look at. A trie self-join of each proposes pairs (a pair at 0.8 is in one of them with over 0.95;
+    pairs already joined through others are left out), CHECK_WORDS words of bits drop those that are far apart, and the sets themselves decide.
     Each text proposes its NEAREST ones alone; texts that have more to propose (large groups of near copies) are, by those links,
     families, whose sets are compared block by block, all with all but those already joined: no row is made for a pair that fails.
     Equal sets are one class. Texts without words are similar to each other only. Nulls and ties as in simhash_groups;
