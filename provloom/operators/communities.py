@@ -1,15 +1,15 @@
-"""Communities inside intervals: connected components by joins, and modularity communities of each bounded interval."""
+"""Communities inside intervals: connected components and modularity communities of each interval."""
 
 from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import undirected_weights
-from .shared import settled
 
 
 def labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -17,30 +17,33 @@ def labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(labels, ["pg_id", "node_uuid"]).withColumn("community_id", F.format_string("d%02d:%s:c%05d", F.col("logical_day"), F.col("pg_id"), F.col("label"))).drop("label")
 
 
-def _numbered(labels: DataFrame) -> DataFrame:
-    """label as numbers from 0 in each interval, in order of the smallest node; the representatives of one interval are as few as its nodes, which the bisection bounds."""
-    small = labels.select("pg_id", "label").distinct()
-    at = small.groupBy("pg_id").agg(F.array_sort(F.collect_list("label")).alias("each"))
-    return labels.join(at, "pg_id").select("pg_id", "node_uuid", (F.array_position("each", F.col("label")) - 1).cast("int").alias("label"))
-
-
-def connected(nodes: DataFrame, compressed: DataFrame, most_rounds: int = 30) -> DataFrame:
-    """pg_id, node_uuid, label of connected components. Nodes take the smallest label around them, and labels are followed to their own, until none changes:
-    rounds grow with the logarithm of the longest chain. Nodes without edges are alone."""
-    e = undirected_weights(compressed, "pg_id").select("pg_id", "a", "b")
-    both = settled(e.union(e.select("pg_id", F.col("b").alias("a"), F.col("a").alias("b"))))
-    now = nodes.select("pg_id", "node_uuid", F.col("node_uuid").alias("label"))
-    for _ in range(most_rounds):
-        near = both.join(now.select("pg_id", F.col("node_uuid").alias("b"), "label"), ["pg_id", "b"]).groupBy("pg_id", F.col("a").alias("node_uuid")).agg(F.min("label").alias("m"))
-        step = now.join(near, ["pg_id", "node_uuid"], "left").select("pg_id", "node_uuid", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        hop = step.select("pg_id", F.col("node_uuid").alias("label"), F.col("label").alias("further"))
-        step = step.join(hop, ["pg_id", "label"]).select("pg_id", "node_uuid", "was", F.col("further").alias("label"))
-        step = settled(step)
-        changed = not step.where("label <> was").isEmpty()
-        now = step.drop("was")
-        if not changed:
-            return _numbered(now)
-    raise RuntimeError("labels did not settle")
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest that it is connected with by links a-b."""
+    root = np.arange(n)
+    while True:  # hook the larger root to the smaller, then point everything at its root
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        open_ = low < high
+        if not open_.any():
+            return root
+        np.minimum.at(root, high[open_], low[open_])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def connected(nodes: DataFrame, compressed: DataFrame) -> DataFrame:
+    """pg_id, node_uuid, label of connected components, numbered from 0 in each interval in order of their smallest node. Nodes without edges are alone.
+    An interval is labelled in one task, so no number of rounds over the table bounds the length of a chain; the task holds the interval's nodes and each linked pair once."""
+    pairs = compressed.select(F.col("pg_id").alias("pg"), F.least("src_uuid", "dst_uuid").alias("a"), F.greatest("src_uuid", "dst_uuid").alias("b")).distinct()
+    mine = nodes.select(F.col("pg_id").alias("pg"), "node_uuid").distinct()
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        known = pd.Index(sorted(left["node_uuid"]))
+        a, b = known.get_indexer(right["a"]), known.get_indexer(right["b"])
+        both = (a >= 0) & (b >= 0)
+        _, label = np.unique(roots(a[both], b[both], len(known)), return_inverse=True)
+        return pd.DataFrame({"pg_id": key[0], "node_uuid": known, "label": label.astype(np.int32)})
+
+    return mine.groupBy("pg").cogroup(pairs.groupBy("pg")).applyInPandas(run, "pg_id string, node_uuid string, label int")
 
 
 def modularity(weights: dict[tuple[str, str], float], nodes: list[str], resolution: float = 1.0) -> dict[str, int]:

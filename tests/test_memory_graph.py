@@ -93,3 +93,18 @@ def test_predictor_learns_and_masks():
         down = small.loss(small.predict(x[:50]), y[:50])
         weights[at] = old
         assert (up - down) / (2 * step) == pytest.approx(grad[at], rel=1e-3, abs=1e-8)
+
+
+def test_connected_on_a_long_chain_in_any_order(spark):
+    """The smallest of a chain's nodes is far from most: rounds of nearest labels do not reach them all in thirty."""
+    order = np.random.default_rng(5).permutation(4000)
+    names = [f"n{i:04d}" for i in order]
+    nodes = spark.createDataFrame([(p, n) for p in "pq" for n in [*names, "alone"]], "pg_id string, node_uuid string")
+    chain = [("p", a, b) for a, b in zip(names, names[1:], strict=False)] + [("q", b, a) for a, b in zip(names[:2000], names[1:2000], strict=False)] + [("q", "gone", "alone")]
+    rows = communities.connected(nodes, spark.createDataFrame([(*c, 1) for c in chain], "pg_id string, src_uuid string, dst_uuid string, event_count long")).collect()
+    label = {(r.pg_id, r.node_uuid): r.label for r in rows}
+    assert len(rows) == len(label) == 8002 and {label["p", n] for n in names} == {1} and label["p", "alone"] == label["q", "alone"] == 0
+    lone = sorted(names[2000:])
+    first = min(names[:2000])
+    want = {n: 1 + i for i, n in enumerate(sorted([*lone, first]))}
+    assert all(label["q", n] == want[n] for n in lone) and {label["q", n] for n in names[:2000]} == {want[first]}
